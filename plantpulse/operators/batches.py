@@ -16,7 +16,8 @@ from ..columns import FAILURE_TYPE, FAULT_TYPE, NORMAL, RUN, STATUS, TIMESTAMP,
 from ..functions.statistics import STANDARD
 from ..functions.status import fault_type
 from ..functions.timebase import floor_time
-from .features import feature_aggregates, sensor_columns
+from ..storage import stage
+from .features import aggregate_windows, sensor_columns
 from .filters import is_complete
 from .ordering import GROUP_ROWS, with_running_totals
 
@@ -53,15 +54,11 @@ def batch_features(
 ) -> DataFrame:
     """Features of the first time window of every full batch; that window stands for the batch."""
     sensors = sensor_columns(batched, time, STATUS, (run, BATCH, RULING, *exclude))
-    made = feature_aggregates(sensors, statistics)
     names = [f"{c}_{s}" for s in statistics for c in sensors]
-    # One exchange on (run, batch) serves both aggregations.
-    members = batched.where(F.col(BATCH).isNotNull()).repartition(run, BATCH)
-    per_window = members.groupBy(run, BATCH, floor_time(F.col(time), window).alias("_window")).agg(
-        *made, F.count(F.lit(1)).alias("_rows")
-    )
+    members = batched.where(F.col(BATCH).isNotNull()).withColumn("_window", floor_time(F.col(time), window))
+    windows = aggregate_windows(members, [run, BATCH, "_window"], sensors, statistics, {}, count="_rows")
     first = F.min_by(F.struct("_window", *names), "_window").alias("_first")
-    full = per_window.groupBy(run, BATCH).agg(first, F.sum("_rows").alias("_rows")).where(F.col("_rows") == size)
+    full = windows.groupBy(run, BATCH).agg(first, F.sum("_rows").alias("_rows")).where(F.col("_rows") == size)
     return full.select(run, BATCH, F.col("_first._window").alias(time), *[F.col("_first")[n].alias(n) for n in names])
 
 
@@ -90,5 +87,6 @@ def score_and_carry(
     df: DataFrame, key: str, score: Scorer, window: str = "10min", size: int = BATCH_ROWS, limit: int = GROUP_ROWS
 ) -> DataFrame:
     """Batch form of the scoring stream: rows with the carried status and fault type."""
-    batched = with_batches(df, key, size, limit=limit)
+    # Written once: the rows are read for the features and again for the carry.
+    batched = stage(with_batches(df, key, size, limit=limit), "batches")
     return with_carried_status(batched, score(batch_features(batched, window, size, exclude=(key,))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,10 @@ from .ordering import GROUP_ROWS, with_next, with_previous
 from .selection import grouped_quantiles
 
 _WINDOW = "_window"
+# Statistics that need the third or fourth moment.
+MOMENTS = {"skewness", "kurtosis", "population_skewness", "population_kurtosis"}
+# Labels that are counted one by one; a target with more values goes through Spark's ``mode``.
+LABELS = 64
 
 
 def sensor_columns(df: DataFrame, time: str, target: str, exclude: Sequence[str]) -> list[str]:
@@ -25,13 +29,47 @@ def feature_aggregates(
     statistics: Sequence[str],
     target: str | None = None,
     labels: Sequence[str] | None = None,
-    carry: Sequence[str] = (),
 ) -> list[Column]:
-    """Aggregate columns of a feature table: statistic by statistic, then the majority labels."""
-    made = [statistic(s)(F.col(c)).alias(f"{c}_{s}") for s in statistics for c in sensors]
-    if target:
-        made.append(majority(F.col(target), labels).alias(target))
-    return made + [majority(F.col(c)).alias(c) for c in carry]
+    """Aggregate columns of a feature table: statistic by statistic, then the majority label."""
+    made = [statistic(s)(F.col(c).cast("double")).alias(f"{c}_{s}") for s in statistics for c in sensors]
+    return made + ([majority(F.col(target), labels).alias(target)] if target else [])
+
+
+def known_labels(df: DataFrame, column: str) -> list[str] | None:
+    """The distinct values of a label column, or None where there are more than ``LABELS``."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().take(LABELS + 1)
+    return sorted(r[0] for r in rows) if 0 < len(rows) <= LABELS else None
+
+
+def aggregate_windows(
+    df: DataFrame,
+    keys: Sequence[str],
+    sensors: Sequence[str],
+    statistics: Sequence[str],
+    labels: Mapping[str, Sequence[str] | None],
+    count: str | None = None,
+) -> DataFrame:
+    """Statistics of the sensors and majority labels per group, and the group's rows as ``count``.
+
+    Moments of many sensors in one aggregation make generated code too large to be compiled. With
+    several sensors they are therefore taken over (sensor, value) pairs and brought back into columns by
+    a second, small aggregation; both combine map-side.
+    """
+    votes = [majority(F.col(c), known).alias(c) for c, known in labels.items()]
+    votes += [F.count(F.lit(1)).alias(count)] if count else []
+    if len(sensors) < 2 or not set(statistics) & MOMENTS:
+        return df.groupBy(*keys).agg(*feature_aggregates(sensors, statistics), *votes)
+    values = F.array(*[F.col(c).cast("double") for c in sensors])
+    pairs = df.select(*keys, *labels, F.posexplode(values).alias("_sensor", "_x"))
+    measured = pairs.groupBy(*keys, "_sensor").agg(
+        *[statistic(s)(F.col("_x")).alias(f"_{s}") for s in statistics], *votes
+    )
+    columns = [
+        F.max(F.when(F.col("_sensor") == i, F.col(f"_{s}"))).alias(f"{c}_{s}")
+        for s in statistics
+        for i, c in enumerate(sensors)
+    ]
+    return measured.groupBy(*keys).agg(*columns, *[F.max(c).alias(c) for c in [*labels, *([count] if count else [])]])
 
 
 def extract_features(
@@ -47,22 +85,16 @@ def extract_features(
     """Statistics of every sensor per tumbling window and run, with the majority target.
 
     The run is a key when the table has one. Rows without a time or run are left out. ``carry``
-    names further label columns to keep by majority. ``labels`` lists the known target values, which
-    keeps the aggregation in plain hash aggregates.
+    names further label columns to keep by majority. Target values not listed in ``labels`` are
+    looked up first, because counting known labels keeps the work in plain hash aggregates.
     """
     require_columns(df, time)
     keys = [RUN] if RUN in df.columns else []
-    sensors = sensor_columns(df, time, target, exclude)
-    target_here = target if target in df.columns else None
     present = F.col(time).isNotNull()
     for key in keys:
         present = present & F.col(key).isNotNull()
-    return (
-        df.where(present)
-        .groupBy(floor_time(F.col(time), window).alias(_WINDOW), *keys)
-        .agg(*feature_aggregates(sensors, statistics, target_here, labels, carry))
-        .withColumnRenamed(_WINDOW, time)
-    )
+    rows = df.where(present).withColumn(_WINDOW, floor_time(F.col(time), window))
+    return _windowed(rows, keys, time, target, exclude, statistics, labels, carry)
 
 
 def sliding_features(
@@ -77,11 +109,18 @@ def sliding_features(
 ) -> DataFrame:
     """As :func:`extract_features` over overlapping windows that start every ``slide``."""
     keys = [RUN] if RUN in df.columns else []
-    sensors = sensor_columns(df, time, target, exclude)
-    target_here = target if target in df.columns else None
     span = F.window(F.col(time), frequency_interval(window), frequency_interval(slide))
-    table = df.groupBy(span.alias(_WINDOW), *keys).agg(*feature_aggregates(sensors, statistics, target_here, labels))
-    return table.withColumn(_WINDOW, F.col(f"{_WINDOW}.start")).withColumnRenamed(_WINDOW, time)
+    rows = df.withColumn(_WINDOW, span).withColumn(_WINDOW, F.col(f"{_WINDOW}.start"))
+    return _windowed(rows, keys, time, target, exclude, statistics, labels, ())
+
+
+def _windowed(rows, keys, time, target, exclude, statistics, labels, carry) -> DataFrame:
+    sensors = sensor_columns(rows.drop(_WINDOW), time, target, exclude)
+    named = {target: labels} if target in rows.columns else {}
+    named.update({c: None for c in carry})
+    named = {c: known or known_labels(rows, c) for c, known in named.items()}
+    table = aggregate_windows(rows, [_WINDOW, *keys], sensors, statistics, named)
+    return table.withColumnRenamed(_WINDOW, time)
 
 
 def majority_labels(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import RUN, TIMESTAMP, numeric_columns
+from ..storage import small_side, stage
 from .ordering import GROUP_ROWS, with_previous
 from .selection import grouped_quantiles
 
@@ -71,12 +72,13 @@ def check_gaps(df: DataFrame, order: Sequence[str], groups=(RUN,), time: str = T
     """
     groups = list(groups)
     paired = _previous_times(df, order, groups, time, limit)
-    steps = paired.select(*groups, _step(time).alias("step"))
+    # Written once: the intervals are read for the median and again for the gaps.
+    steps = stage(paired.select(*groups, _step(time).alias("step")), "steps")
     medians = grouped_quantiles(steps, groups, "step", [0.5], limit).select(
         *groups, F.col("quantiles")[0].alias("median_interval")
     )
     if groups:
-        joined = steps.join(medians, groups, "left")
+        joined = steps.join(small_side(medians), groups, "left")
     else:
         found = medians.first()
         joined = steps.withColumn("median_interval", F.lit(found[0] if found else None).cast("double"))

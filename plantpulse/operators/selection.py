@@ -119,7 +119,7 @@ def _narrow(rows: DataFrame, keys: Sequence[str], state: DataFrame, kind: str) -
         F.when(in_mid, F.col("_grid")).alias("_grid"),
     )
     # One grid step of slack on both sides covers the error of the approximate grid.
-    cell = F.floor(F.col("_r") * _GRID / F.col("_inside")).cast("int")
+    cell = F.floor(F.try_divide(F.col("_r") * _GRID, "_inside")).cast("int")
     pick = lambda i: F.try_element_at("_grid", F.least(F.lit(_GRID + 1), F.greatest(F.lit(1), i)))
     return moved.select(
         *keys,

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from ..columns import RUN, STATUS, TIMESTAMP, require_columns
 from ..functions.timebase import floor_time, frequency_micros
-from ..storage import small_side
-from .ordering import seeded_digest
+from ..storage import small_side, stage
+from .ordering import GROUP_ROWS, seeded_digest
 from .selection import FINAL_ROWS, first_rows_condition
 
 SPLIT, TRAIN, TEST = "split", "train", "test"
 
-# Leading digits of the digest that make a bucket: 16**4 buckets per stratum. The digest is uniform,
-# so the bucket with the cut, the only one that is ranked, holds 1/65536 of the stratum.
+# Leading digits of the digest that make a bucket of a large stratum: 16**4 buckets. The digest is
+# uniform, so the bucket with the cut, the only one that is ranked, holds 1/65536 of the stratum.
 _DIGITS = 4
 # Time buckets summed up in one first-level group of a running total.
 _BUCKETS_PER_GROUP = 1024
@@ -59,27 +59,52 @@ def test_quotas(sizes: DataFrame, groups: Sequence[str], stratum: str | None, te
     return table.withColumn("quota", F.col("n") - F.col("_share") - extra).drop("_total", "_train", "_rest", "_share")
 
 
-def _take_first_by_digest(df: DataFrame, strata: list[str], quotas: DataFrame, key: str, seed: int) -> DataFrame:
-    """Mark as test the ``quota`` rows with the smallest digest in each stratum."""
-    rows = df.withColumn("_digest", seeded_digest(key, seed)).withColumn("_bucket", F.substring("_digest", 1, _DIGITS))
-    counts = rows.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+def _take_first_by_digest(
+    df: DataFrame, groups: list[str], stratum: str | None, test_size: float, key: str, seed: int, limit: int
+) -> DataFrame:
+    """Mark as test the rows with the smallest digests of each stratum, as many as its quota.
+
+    The last chosen (digest, key) of each stratum is found first, from narrow columns; the rows are
+    then labelled in one pass without being moved.
+    """
+    strata = [*groups, *([stratum] if stratum else [])]
     named = {s: f"_k_{s}" for s in strata}
-    quotas = quotas.select(*[F.col(s).alias(k) for s, k in named.items()], "quota")
     match = [F.col(s).eqNullSafe(F.col(k)) for s, k in named.items()]
+    digest = seeded_digest(key, seed)
+    narrow = df.select(*dict.fromkeys([*strata, key]), digest.alias("_digest"))
+
+    sizes = stage(df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")), "strata")
+    digits = 0 if (sizes.agg(F.max("n")).first()[0] or 0) <= limit else _DIGITS
+    quotas = test_quotas(sizes, groups, stratum, test_size).where(F.col("quota") > 0)
+    quotas = quotas.select(*[F.col(s).alias(k) for s, k in named.items()], "quota")
+    narrow = narrow.withColumn("_bucket", F.substring("_digest", 1, digits))
+    if digits:
+        counts = narrow.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        counts = sizes.select(*strata, F.lit("").alias("_bucket"), F.col("n").alias("_n"))
+    upto = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
         counts.withColumn("_upto", F.sum("_n").over(upto))
         .join(small_side(quotas), match)
         .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-        .select(*named.values(), F.col("_bucket").alias("_cut"), (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_need"))
+        .select(
+            *named.values(),
+            F.col("_bucket").alias("_cut"),
+            (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_need"),
+        )
     )
-    # A stratum with quota zero has no cut and stays in training.
-    placed = rows.join(small_side(cut), match, "left")
-    on_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
-    clear = placed.where(~on_cut).select(*df.columns, _label(F.col("_bucket") < F.col("_cut")))
     place = F.row_number().over(Window.partitionBy(*strata).orderBy("_digest", key))
-    border = placed.where(on_cut).select(*df.columns, _label(place <= F.col("_need")))
-    return clear.unionByName(border)
+    border = narrow.join(small_side(cut), [*match, F.col("_bucket") == F.col("_cut")])
+    last = (
+        border.withColumn("_place", place)
+        .where(F.col("_place") == F.col("_need"))
+        .select(*named.values(), F.col("_digest").alias("_last_digest"), F.col(key).alias("_last_key"))
+    )
+    # A stratum with quota zero has no last row and stays in training.
+    marked = df.withColumn("_digest", digest).join(small_side(last), match, "left")
+    same = (F.col("_digest") == F.col("_last_digest")) & (F.col(key) <= F.col("_last_key"))
+    is_test = F.coalesce((F.col("_digest") < F.col("_last_digest")) | same, F.lit(False))
+    return marked.select(*df.columns, _label(is_test))
 
 
 def split_by_run(
@@ -89,22 +114,22 @@ def split_by_run(
     seed: int = 42,
     run: str = RUN,
     stratum: str | None = STATUS,
+    limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """Send ceil(n * test_size) rows of every run to test, in proportion to the run's statuses."""
     _check_fraction(test_size)
     require_columns(df, run, key)
     stratum = stratum if stratum in df.columns else None
-    strata = [run, *([stratum] if stratum else [])]
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
-    return _take_first_by_digest(df, strata, test_quotas(sizes, [run], stratum, test_size), key, seed)
+    return _take_first_by_digest(df, [run], stratum, test_size, key, seed, limit)
 
 
-def split_stratified(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, stratum: str = STATUS) -> DataFrame:
+def split_stratified(
+    df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, stratum: str = STATUS, limit: int = GROUP_ROWS
+) -> DataFrame:
     """Random split of the whole table in proportion to the classes of ``stratum``."""
     _check_fraction(test_size)
     require_columns(df, stratum, key)
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    return _take_first_by_digest(df, [stratum], test_quotas(sizes, [], stratum, test_size), key, seed)
+    return _take_first_by_digest(df, [], stratum, test_size, key, seed, limit)
 
 
 def split_whole_runs(df: DataFrame, test_size: float = 0.2, run: str = RUN) -> DataFrame:
