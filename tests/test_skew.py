@@ -52,7 +52,7 @@ def test_quantiles(hot, keys, value):
     assert same_rows(flat(plain), flat(selection.grouped_quantiles(table, keys, value, fractions, limit=10, final_rows=5)))
 
 
-@pytest.mark.parametrize("n", [0, 1, 10, 333, 500, 999, 1000, 5000])
+@pytest.mark.parametrize("n", [0, 10, 500, 990, 5000])
 def test_first_rows(hot, n):
     ranked = ordering.with_ordinal(hot.withColumn("late", F.col("timestamp").isNull()), [], ["late", *ORDER])
     expected = ranked.where(F.col("ordinal") <= n).select("event_id")
