@@ -146,14 +146,18 @@ def _label_sql(names) -> str:
     return "CASE " + " ".join(f"WHEN contains({stem}, '{n}') THEN '{n}'" for n in names) + " ELSE 'unknown' END"
 
 
+def _stems(spark, folder):
+    return run_paths(spark, folder).withColumn("stem", labels.file_stem(F.col("path")))
+
+
 @check("label_warning", f"WITH {RUN_PATHS} SELECT event_id, {_label_sql(WARNING_TYPES)} AS warning_type FROM run_paths")
 def label_warning(spark, folder):
-    return run_paths(spark, folder).select("event_id", labels.warning_label(F.col("path")).alias("warning_type"))
+    return _stems(spark, folder).select("event_id", labels.warning_label(F.col("stem")).alias("warning_type"))
 
 
 @check("label_failure", f"WITH {RUN_PATHS} SELECT event_id, {_label_sql(FAILURE_TYPES)} AS failure_type FROM run_paths")
 def label_failure(spark, folder):
-    return run_paths(spark, folder).select("event_id", labels.failure_label(F.col("path")).alias("failure_type"))
+    return _stems(spark, folder).select("event_id", labels.failure_label(F.col("stem")).alias("failure_type"))
 
 
 @check(
@@ -165,8 +169,8 @@ def label_failure(spark, folder):
     FROM run_paths""",
 )
 def label_hierarchical(spark, folder):
-    warning, failure = labels.layered_labels(F.col("path"))
-    return run_paths(spark, folder).select("event_id", "path", warning.alias("warning_type"), failure.alias("failure_type"))
+    warning, failure = labels.layered_labels(F.col("path"), F.col("stem"))
+    return _stems(spark, folder).select("event_id", "path", warning.alias("warning_type"), failure.alias("failure_type"))
 
 
 @check(

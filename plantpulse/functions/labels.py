@@ -18,20 +18,21 @@ def _first_contained(name: Column, labels) -> Column:
     return F.coalesce(*choices, F.lit(UNKNOWN_LABEL))
 
 
-def warning_label(path: Column) -> Column:
-    return _first_contained(file_stem(path), WARNING_TYPES)
+def warning_label(stem: Column) -> Column:
+    return _first_contained(stem, WARNING_TYPES)
 
 
-def failure_label(path: Column) -> Column:
-    return _first_contained(file_stem(path), FAILURE_TYPES)
+def failure_label(stem: Column) -> Column:
+    return _first_contained(stem, FAILURE_TYPES)
 
 
-def layered_labels(path: Column) -> tuple[Column, Column]:
-    """(warning type, failure type) for a path: at most one is set, and a warning path wins."""
+def layered_labels(path: Column, stem: Column | None = None) -> tuple[Column, Column]:
+    """(warning type, failure type) for a path: at most one is set, and a warning path wins.
+
+    Give the ``stem`` as a column of its own when labelling many rows, so it is cut out once a row.
+    """
+    stem = file_stem(path) if stem is None else stem
     lowered = F.lower(path)
     is_warning = lowered.contains("warning")
     is_failure = lowered.contains("failure")
-    return (
-        F.when(is_warning, warning_label(path)),
-        F.when(~is_warning & is_failure, failure_label(path)),
-    )
+    return F.when(is_warning, warning_label(stem)), F.when(~is_warning & is_failure, failure_label(stem))

@@ -69,7 +69,11 @@ def aggregate_windows(
         for s in statistics
         for i, c in enumerate(sensors)
     ]
-    return measured.groupBy(*keys).agg(*columns, *[F.max(c).alias(c) for c in [*labels, *([count] if count else [])]])
+    # Known labels travel as numbers, which a hash aggregate can hold; text would force a sort.
+    places = {c: F.array(*map(F.lit, known)) for c, known in labels.items() if known}
+    whole = {c: F.element_at(places[c], F.max(F.array_position(places[c], F.col(c))).cast("int")) for c in places}
+    kept = [whole.get(c, F.max(c)).alias(c) for c in [*labels, *([count] if count else [])]]
+    return measured.groupBy(*keys).agg(*columns, *kept)
 
 
 def extract_features(

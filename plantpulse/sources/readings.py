@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,22 +41,30 @@ def read_validated(spark: SparkSession, path: str, schema: T.StructType | str |
 
 
 def _plain_path(path: str) -> str:
-    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/", path).rstrip("/")
+    """Path or file URI without scheme, host and percent codes."""
+    is_uri = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path)
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/", unquote(path) if is_uri else path).rstrip("/")
 
 
-def _plain_path_column(uri: Column) -> Column:
-    """Path of a file URI, decoded, without scheme and host."""
-    decoded = F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
-    return F.regexp_replace(decoded, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+def _run_table(spark: SparkSession, files: Sequence[str], paths: Sequence[str], start: int) -> DataFrame:
+    """(file, run id, labels) for every file that is read; a run is a file or the folder it lies in.
 
-
-def _run_table(spark: SparkSession, paths: Sequence[str], start: int) -> DataFrame:
-    plain = [_plain_path(p) for p in paths]
-    if len(set(plain)) != len(plain):
+    The listing is the one the readers already hold, so rows need no work on their path but an
+    equality join.
+    """
+    runs = {_plain_path(p): (start + i, p) for i, p in enumerate(paths)}
+    if len(runs) != len(paths):
         raise ValueError("a run file is listed twice")
-    rows = [(full, start + i, given) for i, (full, given) in enumerate(zip(plain, paths))]
-    table = spark.createDataFrame(rows, f"_path string, {RUN} bigint, _given string")
-    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+
+    def found(file: str):
+        plain = _plain_path(file)
+        return runs.get(plain) or runs[plain.rpartition("/")[0]]
+
+    rows = [(file, *found(file)) for file in files]
+    table = spark.createDataFrame(rows, f"_uri string, {RUN} bigint, _given string")
+    warning, failure = layered_labels(F.col("_given"))
+    labelled = table.select("_uri", RUN, warning.alias("_warning"), failure.alias("_failure"))
+    return F.broadcast(labelled) if len(rows) <= BROADCAST_ROWS else labelled
 
 
 def _read_group(spark: SparkSession, paths: list[str], header: tuple[str, ...]) -> DataFrame:
@@ -91,25 +100,17 @@ def load_runs(
     read = [_read_group(spark, group, header) for header, group in by_header.items()]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
 
-    runs = _run_table(spark, paths, start_run_id)
-    file = _plain_path_column(F.col("_uri"))
-    folder = F.regexp_replace(file, r"/[^/]*$", "")
-    found = lambda kind: runs.select(F.col("_path").alias(kind), F.struct(RUN, "_given").alias(f"_by{kind}"))
-    keyed = df.withColumn("_file", file).withColumn("_folder", folder)
-    keyed = keyed.join(found("_file"), "_file", "left").join(found("_folder"), "_folder", "left")
-    keyed = keyed.withColumn("_run", F.coalesce("_by_file", "_by_folder"))
-    df = nan_to_null(keyed.select(*df.columns, "_run.*").drop("_uri"))
-
+    runs = _run_table(spark, [f for table in read for f in table.inputFiles()], paths, start_run_id)
+    df = nan_to_null(df.join(runs, "_uri").drop("_uri"))
     if TIMESTAMP in df.columns:
         df = df.withColumn(TIMESTAMP, parse_timestamp(F.col(TIMESTAMP).cast("string")))
         if STATUS in df.columns:
             df = df.withColumn(STATUS, clean_status(F.col(STATUS)))
         if frequency:
-            df = resample(df, frequency, method, key=_ROW, groups=[RUN, "_given"])
+            df = resample(df, frequency, method, key=_ROW, groups=[RUN, "_warning", "_failure"])
     if labels:
-        warning, failure = layered_labels(F.col("_given"))
-        df = df.withColumn(WARNING_TYPE, warning).withColumn(FAILURE_TYPE, failure)
-    return df.drop("_given", _ROW)
+        df = df.withColumns({WARNING_TYPE: F.col("_warning"), FAILURE_TYPE: F.col("_failure")})
+    return df.drop("_warning", "_failure", _ROW)
 
 
 def run_files(folder: str, names: Sequence[str] | None) -> list[str]:

@@ -86,7 +86,7 @@ def test_late_readings_are_dropped(spark, folders):
     source, out, progress = folders
     schema = "event_id bigint, run_id bigint, timestamp timestamp, x double"
     day = lambda d, i: (i, 1, dt.datetime(2024, 1, d), 1.0)
-    for rows in ([day(1, 0), day(5, 1)], [day(1, 2), day(9, 3)], [day(20, 4)]):
+    for rows in ([day(1, 0), day(5, 1)], [day(6, 2)], [day(1, 3), day(9, 4)], [day(20, 5)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
     stream = flows.replay(spark, source, spark.createDataFrame([], schema).schema, files_per_trigger=1).drop("event_id")
     made = flows.stream_features(stream, "1d", delay="1h", statistics=("energy",))
