@@ -76,7 +76,7 @@ def _read_group(spark: SparkSession, paths: list[str], header: tuple[str, ...])
     else:
         df = reader.option("inferSchema", True).option("timestampFormat", "'never'").csv(paths)
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    return df.select("*", F.col("_metadata.file_path").alias("_uri"), place.alias(_ROW))
+    return df.select("*", F.input_file_name().alias("_uri"), place.alias(_ROW))
 
 
 def load_runs(
@@ -101,7 +101,9 @@ def load_runs(
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
 
     runs = _run_table(spark, [f for table in read for f in table.inputFiles()], paths, start_run_id)
-    df = nan_to_null(df.join(runs, "_uri").drop("_uri"))
+    unlisted = F.raise_error(F.concat(F.lit("no run for file "), "_uri")).cast("bigint")
+    df = df.join(runs, "_uri", "left").withColumn(RUN, F.coalesce(RUN, unlisted))
+    df = nan_to_null(df.drop("_uri"))
     if TIMESTAMP in df.columns:
         df = df.withColumn(TIMESTAMP, parse_timestamp(F.col(TIMESTAMP).cast("string")))
         if STATUS in df.columns:
