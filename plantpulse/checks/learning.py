@@ -82,10 +82,10 @@ def confidence_map(spark, folder):
 
 
 def _training_table(spark, folder):
-    """Split monthly features per supplier, written once because training reads them many times."""
+    """Split monthly features per supplier, written once because split and training read them often."""
     table = features.extract_features(readings_wide(spark, folder), "30d", labels=STATUSES)
     key = F.concat_ws("@", F.col("run_id").cast("string"), F.unix_micros("timestamp").cast("string"))
-    return stage(splits.split_by_run(table.withColumn("row_key", key), "row_key"), "training")
+    return splits.split_by_run(stage(table.withColumn("row_key", key), "training"), "row_key")
 
 
 @check("train_predict_forest")

@@ -68,3 +68,29 @@ def stream_count_window(spark, folder):
     scored = scoring.score_stream(stream, "event_id", rule_score)
     table = _finish(spark, flows.write_batches(scored, path, progress), path)
     return table.select("event_id", "run_id", "health_status", "fault_type")
+
+
+_SCORED_POINTS_SQL = f"""WITH carried AS ({CARRIED_SQL}), source AS (
+        SELECT event_id, CASE WHEN NOT (event_type = 'purchase' AND value > 100) THEN ts END AS timestamp,
+               CASE WHEN NOT value < 5 THEN value END AS sensor_value FROM events),
+    entries AS (SELECT c.event_id, s.timestamp, unnest([
+          {{'kind': 'tag', 'name': 'health_status', 'word': c.health_status, 'number': NULL}},
+          {{'kind': 'tag', 'name': 'fault_type', 'word': c.fault_type, 'number': NULL}},
+          {{'kind': 'field', 'name': 'health_status_code', 'word': NULL, 'number':
+             CAST(CASE c.health_status WHEN 'Normal' THEN 0 WHEN 'Warning' THEN 1 ELSE 2 END AS DOUBLE)}},
+          {{'kind': 'field', 'name': 'event_id', 'word': NULL, 'number': CAST(c.event_id AS DOUBLE)}},
+          {{'kind': 'field', 'name': 'run_id', 'word': NULL, 'number': CAST(c.run_id AS DOUBLE)}},
+          {{'kind': 'field', 'name': 'sensor_value', 'word': NULL, 'number': s.sensor_value}}]) AS e
+      FROM carried c JOIN source s USING (event_id))
+    SELECT 'plant' AS measurement, {text('timestamp')} AS time, event_id AS point, e.kind AS kind, e.name AS name,
+           e.word AS word, {num('e.number')} AS number
+    FROM entries WHERE e.word IS NOT NULL OR e.number IS NOT NULL"""
+
+
+@check("stream_scored_points", _SCORED_POINTS_SQL)
+def stream_scored_points(spark, folder):
+    """The whole scoring stream: validate, batch, score, carry, tag, write."""
+    path, progress = _outputs(spark)
+    stream = _replayed(spark, patchy(spark, folder))
+    query = scoring.write_scored_points(stream, "event_id", "plant", path, progress, rule_score)
+    return point_entries(_finish(spark, query, path))

@@ -14,7 +14,7 @@ def _literal_map(entries: dict) -> Column:
 
 def clean_status(status: Column) -> Column:
     """Status without surrounding white space and with cut-off labels made whole."""
-    stripped = F.regexp_replace(status, r"^\s+|\s+$", "")
+    stripped = F.regexp_replace(status, r"(?U)^\s+|\s+$", "")
     return F.coalesce(F.try_element_at(_literal_map(STATUS_REPAIRS), stripped), stripped)
 
 

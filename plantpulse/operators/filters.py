@@ -56,7 +56,7 @@ def is_complete(df: DataFrame) -> Column:
     def filled(field: T.StructField) -> Column:
         column = F.col(field.name)
         if isinstance(field.dataType, T.StringType):
-            return column.isNotNull() & column.rlike(r"\S")
+            return column.isNotNull() & column.rlike(r"(?U)\S")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             return column.isNotNull() & ~F.isnan(column)
         return column.isNotNull()
@@ -86,9 +86,14 @@ def between_times(df: DataFrame, start, stop, time: str = TIMESTAMP) -> DataFram
 
 
 def latest_status(df: DataFrame, key: str, run: str = RUN, time: str = TIMESTAMP, status: str = STATUS) -> DataFrame:
-    """The newest reading's time and status per run; the key decides between equal times."""
-    newest = F.max(F.struct(time, key, status)).alias("_newest")
-    return df.where(F.col(time).isNotNull()).groupBy(run).agg(newest).select(run, f"_newest.{time}", f"_newest.{status}")
+    """The newest reading's time and status per run; the key decides between equal times.
+
+    The newest times come from a hash aggregate of two columns; only rows at those times are then
+    compared by key.
+    """
+    ends = df.where(F.col(run).isNotNull()).groupBy(run).agg(F.max(time).alias(time)).where(F.col(time).isNotNull())
+    last = df.select(run, time, key, status).join(small_side(ends), [run, time])
+    return last.groupBy(run, time).agg(F.max_by(status, key).alias(status))
 
 
 def feature_names(df: DataFrame, target: str = STATUS) -> list[str]:

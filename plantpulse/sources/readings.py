@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import FAILURE_TYPE, READING_SCHEMA, RUN, STATUS, TIMESTAMP, WARNING_TYPE, require_columns
-from ..functions.labels import layered_labels
+from ..functions.labels import file_stem, layered_labels
 from ..functions.status import clean_status
 from ..functions.timebase import parse_timestamp
 from ..operators.filters import configured_filter, nan_to_null
@@ -62,7 +62,8 @@ def _run_table(spark: SparkSession, files: Sequence[str], paths: Sequence[str],
 
     rows = [(file, *found(file)) for file in files]
     table = spark.createDataFrame(rows, f"_uri string, {RUN} bigint, _given string")
-    warning, failure = layered_labels(F.col("_given"))
+    table = table.withColumn("_stem", file_stem(F.col("_given")))
+    warning, failure = layered_labels(F.col("_given"), F.col("_stem"))
     labelled = table.select("_uri", RUN, warning.alias("_warning"), failure.alias("_failure"))
     return F.broadcast(labelled) if len(rows) <= BROADCAST_ROWS else labelled
 

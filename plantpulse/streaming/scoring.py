@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..columns import FAILURE_TYPE, FAULT_TYPE, NORMAL, RUN, STATUS, TIMESTAMP, WARNING_TYPE
@@ -27,6 +28,7 @@ from ..functions.timebase import floor_time
 from ..operators.batches import BATCH_ROWS, Scorer
 from ..operators.features import sensor_columns
 from ..operators.filters import is_complete
+from .flows import write_points
 
 _VALID, _TIMES, _VALUES = "_valid", "_batch_times", "_batch_values"
 _STATE = T.StructType(
@@ -121,3 +123,21 @@ def score_stream(df: DataFrame, key: str, score: Scorer, window: str = "10min",
         F.when(waiting, NORMAL).otherwise(F.col(STATUS)).alias(STATUS),
         F.when(waiting, "none").otherwise(fault).alias(FAULT_TYPE),
     )
+
+
+def write_scored_points(
+    df: DataFrame,
+    key: str,
+    measurement: str,
+    folder: str,
+    checkpoint: str,
+    score: Scorer | None = None,
+    once: bool = True,
+) -> StreamingQuery:
+    """The scoring stream as points: score in batches, carry the status, tag and write every row.
+
+    Without ``score`` the status that came with the rows is passed through. Errors stop the query,
+    which resumes from its checkpoint.
+    """
+    rows = df if score is None else score_stream(df, key, score)
+    return write_points(rows, measurement, folder, checkpoint, once)
