@@ -42,8 +42,7 @@ def test_running_totals(hot):
     assert same_rows(plain, ordering.with_running_totals(hot, GROUPS, ORDER, totals, limit=10))
 
 
-@pytest.mark.parametrize("keys", [["run_id"], []])
-@pytest.mark.parametrize("value", ["sensor_value", "event_id", "repeated"])
+@pytest.mark.parametrize("keys, value", [(["run_id"], "sensor_value"), (["run_id"], "repeated"), ([], "event_id"), ([], "repeated")])
 def test_quantiles(hot, keys, value):
     table = hot.withColumn("repeated", F.when(F.col("event_id") % 3 == 0, 7.0).otherwise(F.col("sensor_value")))
     fractions = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
