@@ -136,7 +136,7 @@ def hier_predict_trained(spark, folder):
 
 
 def _layer_spec(base: str, target: str, condition=None, kinds=("normal", "failure", "warning")) -> LayerSpec:
-    files = {kind: [n for n in RUN_FILES if n.startswith(kind)] for kind in ("normal", "failure", "warning")}
+    files = {kind: [f"file={n}" for n in RUN_FILES if n.startswith(kind)] for kind in ("normal", "failure", "warning")}
     return LayerSpec.from_mapping({"model": {
         "name": f"layer_{target}", "hyperparameters": {"n_estimators": 3, "max_depth": 4, "random_state": 42},
         "target": {"column": target, "classes": list(STATUSES), "type": "multiclass"}, "data_filter": condition,
@@ -152,8 +152,8 @@ def _layer_spec(base: str, target: str, condition=None, kinds=("normal", "failur
 
 
 def _write_run_files(spark, folder, base: str) -> None:
-    """All events as 25 run folders of CSV parts, one per run file name."""
-    name = F.element_at(F.array(*map(F.lit, RUN_FILES)), (F.col("user_id") % len(RUN_FILES) + 1).cast("int"))
+    """All events as 25 runs, each a folder of CSV parts named after its run file."""
+    name = F.element_at(F.array(*map(F.lit, RUN_FILES)), (F.col("event_id") % len(RUN_FILES) + 1).cast("int"))
     kind = F.col("event_type")
     table = events(spark, folder).select(
         F.col("ts").alias("timestamp"),
@@ -162,8 +162,7 @@ def _write_run_files(spark, folder, base: str) -> None:
         F.when(kind == "error", "Failur").when(kind == "signup", "Warnin").otherwise("Normal").alias("health_status"),
         name.alias("file"),
     )
-    for file in RUN_FILES:
-        table.where(F.col("file") == file).drop("file").write.options(**CSV_OPTIONS).csv(f"{base}/files/{file}")
+    table.write.options(**CSV_OPTIONS).partitionBy("file").csv(f"{base}/files")
 
 
 @check("run_layer_status")

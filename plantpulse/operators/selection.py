@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import small_side, stage
 from .ordering import GROUP_ROWS
@@ -198,8 +199,11 @@ def first_rows_condition(
 ) -> Column:
     """Condition that holds for exactly the first ``n`` rows in (time, key) order, null times last.
 
-    The cut is found by counting, so no row is moved or sorted. ``key`` must be unique.
+    The cut is found by counting, so no row is moved or sorted. ``key`` must be a number and unique
+    among equal times.
     """
+    if not isinstance(df.schema[key].dataType, T.NumericType):
+        raise ValueError("the key that decides between equal times must be a number")
     if n <= 0:
         return F.lit(False)
     micros = df.select(F.unix_micros(time).alias("t"), F.col(key).alias("k"))

@@ -61,7 +61,8 @@ def split_features(table: DataFrame, spec: LayerSpec, test_size: float | None =
     if spec.by_time and spec.stratified:
         return splits.split_stratified_time(table, size, time=spec.time, stratum=spec.target)
     if spec.by_time:
-        return splits.split_chronological(table, KEY, size, spec.time)
+        # One row per run and window start, so the run decides between equal times.
+        return splits.split_chronological(table, RUN, size, spec.time)
     if spec.stratified:
         return splits.split_stratified(table, KEY, size, spec.seed, spec.target)
     return splits.split_by_run(table, KEY, size, spec.seed)
@@ -104,7 +105,8 @@ def train_layer(split: DataFrame, spec: LayerSpec, kind: str = "forest") -> mode
 
 def run_layer(spark: SparkSession, spec: LayerSpec, kind: str = "forest") -> tuple[model.Classifier, DataFrame, DataFrame]:
     """Preprocess, export, train, evaluate and save a layer: (model, metrics, report)."""
-    split, _ = preprocess(spark, spec)
+    split, quality_report = preprocess(spark, spec)
+    quality_report.write.mode("overwrite").json(f"{spec.metrics_path}/validation")
     folder = f"{spec.output_dir}/{spec.name}"
     export_split(split, folder)
     exported = spark.read.parquet(folder)

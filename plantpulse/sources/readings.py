@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -20,6 +21,8 @@ from ..operators.resample import resample
 from ..storage import BROADCAST_ROWS
 
 _ROW = "_row"
+# Headers looked up at the same time.
+_LOOKUPS = 16
 _KNOWN_TYPES = {f.name: f.dataType for f in READING_SCHEMA}
 
 
@@ -68,6 +71,13 @@ def _run_table(spark: SparkSession, files: Sequence[str], paths: Sequence[str],
     return F.broadcast(labelled) if len(rows) <= BROADCAST_ROWS else labelled
 
 
+def _headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, ...]]:
+    """Column names of each run, looked up side by side; each look-up reads one line."""
+    first_line = lambda path: tuple(spark.read.option("header", True).option("escape", '"').csv(path).columns)
+    with ThreadPoolExecutor(_LOOKUPS) as pool:
+        return list(pool.map(first_line, paths))
+
+
 def _read_group(spark: SparkSession, paths: list[str], header: tuple[str, ...]) -> DataFrame:
     """Files that share a header. Times are read as text because their layout varies."""
     reader = spark.read.option("header", True).option("escape", '"')
@@ -87,17 +97,19 @@ def load_runs(
     labels: bool = False,
     frequency: str | None = None,
     method: str = "mean",
+    header: Sequence[str] | None = None,
 ) -> DataFrame:
     """Read many run files, number the runs in list order, clean, resample and label them.
 
     A run is a CSV file or a folder of CSV parts. Files are read together per distinct header and
-    united by column name. With ``labels`` the warning or failure type is read off the path.
+    united by column name. Give the ``header`` where all files share a known one; otherwise each
+    run's first line is looked up. With ``labels`` the warning or failure type is read off the path.
     """
     if not paths:
         return spark.createDataFrame([], T.StructType([*READING_SCHEMA, T.StructField(RUN, T.LongType())]))
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        by_header.setdefault(tuple(spark.read.option("header", True).csv(path).columns), []).append(path)
+    for path, columns in zip(paths, _headers(spark, paths) if header is None else [tuple(header)] * len(paths)):
+        by_header.setdefault(columns, []).append(path)
     read = [_read_group(spark, group, header) for header, group in by_header.items()]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
 
