@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..columns import RUN, TIMESTAMP, numeric_columns
 from ..functions.timebase import floor_time, frequency_micros
+from ..storage import small_side
 
 _DAY = frequency_micros("1d")
 _BUCKET = "_bucket"
@@ -54,7 +55,7 @@ def resample(
     if _DAY % frequency_micros(frequency):
         first_days = dated.groupBy(*groups).agg(F.date_trunc("day", F.min(time)).alias("_origin"))
         if groups:
-            dated = dated.join(first_days, groups)
+            dated = dated.join(small_side(first_days), groups)
         else:
             dated = dated.withColumn("_origin", F.lit(first_days.first()[0]))
         origin = F.col("_origin")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..columns import RUN, STATUS, TIMESTAMP, WARNING_TYPE, FAILURE_TYPE
+from ..columns import FAILURE_TYPE, RUN, STATUS, TIMESTAMP, WARNING_TYPE
 from ..operators import features as feature_ops
 from ..operators import filters, model, quality, splits
 from ..operators.ordering import seeded_shuffle
-from ..sinks.tables import export_split, write_metrics
-from ..sources.readings import load_runs, union_by_name
+from ..sinks.tables import export_split, write_metrics, write_predictions
+from ..sources.readings import load_runs, read_csv, union_by_name
+from ..sources.records import readings_from_records
 from ..storage import stage
 from .spec import LayerSpec
 
@@ -129,3 +130,16 @@ def predict_files(
     """Load and resample files, keep normal or abnormal rows if asked, and predict."""
     readings = load_runs(spark, paths, frequency="1min")
     return predict_readings(fitted, filters.by_condition(readings, condition), window)
+
+
+def predict_record(spark: SparkSession, fitted: model.Classifier, record: dict, timestamp=None, window: str = "10min") -> DataFrame:
+    """One hand-written reading: predicted status, probability per class, confidence and time."""
+    reading = readings_from_records(spark, record, timestamp)
+    table = feature_ops.extract_features(reading, window)
+    scored = model.confidence(fitted.predict(table), fitted.classes)
+    return scored.select("predicted_status", "probability_map", "confidence", TIMESTAMP)
+
+
+def predict_and_write(spark: SparkSession, fitted: model.Classifier, path: str, window: str = "10min") -> str:
+    """Predictions for a CSV of readings, written next to it; returns where."""
+    return write_predictions(predict_readings(fitted, read_csv(spark, path), window), path)

@@ -1,11 +1,15 @@
 """Models, the hierarchy and configured layers."""
 
+import datetime as dt
+
 import pytest
 import yaml
 from pyspark.sql import functions as F
 
 from plantpulse.checks.learning import _layer_spec, _write_run_files
 from plantpulse.operators import hierarchy, model, splits
+from plantpulse.operators.features import extract_features
+from plantpulse.operators.ordering import fill_window
 from plantpulse.plans import layer
 from plantpulse.plans.spec import LayerSpec
 from plantpulse.sources.records import sample_readings
@@ -120,5 +124,39 @@ def test_layer_from_yaml(spark, tmp_path):
     assert scored.count() > 0 and "prob_Normal" in scored.columns
 
 
-def test_single_reading(table, forest):
-    assert forest.predict(table.limit(1)).count() == 1
+# Hand-written readings with fixed values.
+CUSTOM_READING = {
+    "accelerometer_g": 0.35, "vibration_velocity_mm_s": 3.8, "shaft_displacement_um": 42.5, "bearing_temp_c": 68.2,
+    "oil_temp_c": 57.1, "casing_temp_c": 62.8, "inlet_fluid_temp_c": 46.5, "outlet_fluid_temp_c": 56.3,
+    "inlet_pressure_bar": 2.7, "outlet_pressure_bar": 6.8, "flow_rate_m3_h": 92.1, "motor_current_a": 41.5,
+    "supply_voltage_v": 402.3, "power_consumption_kw": 20.8, "sound_intensity_db": 77.2,
+}
+
+
+@pytest.fixture(scope="module")
+def sensor_model(spark):
+    """A model on all 120 features of generated readings; hot bearings are warnings."""
+    rows = sample_readings(spark, 400)
+    labelled = rows.withColumn("health_status", F.when(F.col("bearing_temp_c") > 66, "Warning").otherwise("Normal"))
+    return model.train(extract_features(labelled), trees=10, depth=4)
+
+
+def test_single_reading(spark, sensor_model):
+    row = layer.predict_record(spark, sensor_model, CUSTOM_READING, "2024-01-01 00:03:00").first()
+    assert row["predicted_status"] == "Warning" and row["timestamp"] == dt.datetime(2024, 1, 1)
+    assert row["confidence"] == row["probability_map"]["Warning"] > 0.5
+
+
+def test_predictions_next_to_a_file(spark, sensor_model, tmp_path):
+    sample_readings(spark, 50).coalesce(1).write.option("header", True).csv(str(tmp_path / "plant.csv"))
+    path = layer.predict_and_write(spark, sensor_model, str(tmp_path / "plant.csv"))
+    assert path.endswith("plant_predictions.csv") and spark.read.option("header", True).csv(path).count() == 50
+
+
+def test_short_list_of_readings_fills_a_window(spark, sensor_model):
+    """Three readings are repeated to ten before features are taken."""
+    rows = sample_readings(spark, 3).withColumn("run_id", F.lit(1)).withColumn("k", F.unix_micros("timestamp"))
+    filled = fill_window(rows, ["run_id"], ["k"], 10)
+    assert filled.count() == 10
+    timed = filled.withColumn("timestamp", F.timestamp_seconds(F.col("position") * 600)).drop("k", "position", "run_id")
+    assert layer.predict_readings(sensor_model, timed).count() == 10
