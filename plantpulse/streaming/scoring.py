@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..columns import FAILURE_TYPE, FAULT_TYPE, NORMAL, RUN, STATUS, TIMESTAMP, WARNING_TYPE
-from ..functions.arrays import array_statistics
+from ..functions.arrays import with_array_statistics
 from ..functions.status import fault_type
 from ..functions.timebase import floor_time
 from ..operators.batches import BATCH_ROWS, Scorer
@@ -105,9 +105,8 @@ def latest_batch_features(df: DataFrame, sensors: list[str], window: str = "10mi
             lambda x: x.isNotNull(),
         )
         columns[f"_x_{sensor}"] = F.when(F.size("_starts") > 0, pick)
-    spread = spread.withColumns(columns)
-    made = {f"{s}_{n}": c for s in sensors for n, c in array_statistics(F.col(f"_x_{s}")).items()}
-    return spread.withColumns(made).drop("_starts", *columns)
+    made = with_array_statistics(spread.withColumns(columns), {s: f"_x_{s}" for s in sensors})
+    return made.drop("_starts", *columns)
 
 
 def score_stream(df: DataFrame, key: str, score: Scorer, window: str = "10min", size: int = BATCH_ROWS) -> DataFrame:
