@@ -72,7 +72,8 @@ def op3_best_fit_packing(spark, folder):
 
 @query
 def op5_license_scan(spark, folder):
-    return licenses.scan_licenses(table(spark, folder, "documents"))
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    return found.withColumn("expressions", F.array_join("expressions", "; "))
 
 
 @query
