@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, licenses, packing, quality, token_counts, toxicity
+from . import chat, decontamination, fingerprints, jaccard, licenses, packing, quality, token_counts, toxicity, urls
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,12 +70,26 @@ def op3_best_fit_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
 
 
+@query
+def op4_url_rules(spark, folder):
+    """A page is labelled by the document that it has the number of: blocked if that is of low quality or toxic."""
+    pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
+    given = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    rules = urls.mine(pages.select("page_id", "url").join(given, "page_id"))
+    return urls.judge(pages, rules)
+
+
 @query
 def op5_license_scan(spark, folder):
     found = licenses.scan_licenses(table(spark, folder, "documents"))
     return found.withColumn("expressions", F.array_join("expressions", "; "))
 
 
+@query
+def op6_fingerprints(spark, folder):
+    return fingerprints.compare_with_next(table(spark, folder, "documents"))
+
+
 @query
 def op7_toxicity(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -92,3 +106,13 @@ def op8_jaccard_join(spark, folder):
 @query
 def op9_token_counts(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(COUNTING_TOKENIZER))
+
+
+@query
+def op10_chat_format(spark, folder):
+    """All conversations and one more, -1, whose texts hold the control strings of a common template."""
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    read = chat.read_back(chat.format_conversations(given.unionByName(extra)))
+    return read.withColumnRenamed("conv", "conv_id")
