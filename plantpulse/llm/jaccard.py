@@ -14,7 +14,6 @@ verified. A pair of one component needs no check, so groups of near copies never
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
-from .common import BROADCAST_LIMIT, bounded_batches, checked
+from .common import BROADCAST_LIMIT, bounded_batches, checked, wide_batches
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -33,8 +32,6 @@ ORDER_ONE_IN, ORDER_LEAST, FREQUENT = 16, 4, 100_000
 # Points in a leaf and children of a node of the tree; blocks below this size are compared without one.
 LEAF = 16
 
-_BREAKS = re.compile(r"[\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,14 +50,15 @@ class Shingler:
         self.words, self.hash, self.known = words, xxhash.xxh3_64_intdigest, {}
 
     def set_of(self, text: str) -> np.ndarray:
-        found = [w for w in _BREAKS.split(text.translate(_LOWER)) if w]
+        # On bytes, lower() and split() know ASCII only: A-Z, and the six kinds of white space that part words.
+        found = text.encode("utf-8").lower().split()
         if not found:
             return np.empty(0, np.uint64)
         known = self.known
         if len(known) > 300_000:
             known.clear()
         for w in set(found).difference(known):
-            known[w] = self.hash(w.encode("utf-8"))
+            known[w] = self.hash(w)
         one = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         n = min(self.words, len(one))
         with np.errstate(over="ignore"):
@@ -207,6 +205,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     return both.mapInPandas(compared, "a long, b long")
 
 
+def near_rows(points: np.ndarray, sizes: np.ndarray, point: np.ndarray, size: int, bounded: np.ndarray | bool = True) -> np.ndarray:
+    """Rows whose sizes allow a link and, where ``bounded``, whose points do."""
+    most = np.minimum(points, point).sum(axis=1, dtype=np.int64)
+    fits = DENOMINATOR * np.minimum(sizes, size) >= NUMERATOR * np.maximum(sizes, size)
+    return np.flatnonzero(fits & ((most >= needed_overlap(size, sizes)) | ~np.broadcast_to(bounded, fits.shape)))
+
+
 class CountTree:
     """R-tree over count vectors, packed by size and the widest coordinates; a node keeps the largest counts and least size below it."""
 
@@ -238,9 +243,7 @@ class CountTree:
             if not len(live):
                 return live
             live = np.concatenate([level[i] for i in live])
-        n = self.sizes[live]
-        near = (np.minimum(self.points[live], point).sum(axis=1, dtype=np.int64) >= needed_overlap(size, n)) & (DENOMINATOR * np.minimum(n, size) >= NUMERATOR * np.maximum(n, size))
-        return live[near]
+        return live[near_rows(self.points[live], self.sizes[live], point, size)]
 
 
 def tree_pairs(members: DataFrame) -> DataFrame:
@@ -253,10 +256,10 @@ def tree_pairs(members: DataFrame) -> DataFrame:
             # Without a usable point, counts of 255 everywhere bound nothing.
             points = np.stack([np.frombuffer(p, np.uint8) if ok else np.full(GROUPS, 255, np.uint8) for p, ok in zip(block["point"], full)])
             out_a, out_b = [], []
-            tree = CountTree(points, n)
+            tree = CountTree(points, n) if len(node) > LEAF and full.all() else None
             for i in range(len(node)):
-                # A document whose counts overflow a byte has at least 256 shingles per group at 255: ask by size only.
-                near = tree.search(points[i], int(n[i])) if full.all() else np.arange(len(node))
+                # A document with counts beyond a byte has no point: its block is compared by components only.
+                near = tree.search(points[i], int(n[i])) if tree else near_rows(points, n, points[i], int(n[i]), full & full[i])
                 near = near[(node[near] > node[i]) & (root[near] != root[i])]
                 out_a.append(np.full(len(near), node[i]))
                 out_b.append(node[near])
@@ -299,21 +302,27 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     speaks = filled.join(copies, "node", "left").where(F.col("least").isNull() | (F.col("k") == F.col("least")))
     nodes = speaks.select("node", "k", "n", "point", "prefix")
 
-    shared = stage(blocks(nodes), "blocks")
+    with wide_batches(spark):
+        shared = stage(blocks(nodes), "blocks")
     points = stage(nodes.select("node", "k", "n", "point").join(shared.select("node").distinct(), "node"), "points")
     star = shared.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     tried = stage(star, "tried")
-    near = stage(bound_holds(tried, points), "near")
+    with wide_batches(spark):
+        near = stage(bound_holds(tried, points), "near")
     links = stage(verified(near, points, docs, key, text), "links")
     roots = stage(components(links), "roots")
 
     rooted = shared.select("shingle", "node").join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
     rooted = stage(rooted, "rooted")
     # Blocks of two nodes are settled by their only pair.
-    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi and rows > 2").select("shingle")
+    # Blocks of the same nodes, told by two 64-bit digests and the number of nodes, are searched once.
+    alike = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in (1, 2)]
+    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), *alike).where("lo <> hi and rows > 2")
+    mixed = mixed.groupBy("rows", "d1", "d2").agg(F.min("shingle").alias("shingle")).select("shingle")
     members = rooted.join(mixed, "shingle").join(points.select("node", "n", "point"), "node")
     more = tree_pairs(members).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stage(more, "more")
+    with wide_batches(spark):
+        more = stage(more, "more")
     found = verified(more, points, docs, key, text)
     every = stage(components(stage(links.unionByName(found), "links")), "roots")
 
