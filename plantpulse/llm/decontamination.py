@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only: broadcast n-gram hashes, scan, verify, remove.
 
 Every window of ``WINDOW`` consecutive words of a benchmark item (all of a shorter item) is normalised, hashed and broadcast.
-Documents are scanned once: their words become an array of hashes, every run of as many words is hashed in place and met
+Documents are scanned once: wherever the rarest-looking word of a window stands, the run of words around it is hashed and met
 with the broadcast hashes, and a hit counts only after its words have been compared.
 """
 
@@ -30,23 +30,16 @@ def words_of(text) -> F.Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), f"{_OTHER}+"), "")
 
 
-def _hashes(words) -> F.Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def _window_hashes(hashes, length: int) -> F.Column:
-    """Hash of the ``length`` words from each place on; empty for shorter texts."""
-    places = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (length - 1), F.lit(0)))
-    return F.transform(places, lambda _, i: F.struct(F.xxhash64(F.slice(hashes, i + 1, length)).alias("hash"), i.alias("at"), F.lit(length).alias("length")))
-
-
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct windows (hash, length, words, items): the hash finds, the words verify. Items without words give none."""
+    """Distinct windows (hash, length, words, items, offset, anchor): the anchor proposes, the hash finds, the words verify. Items without words give none."""
     given = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
     given = given.withColumn("length", F.least(F.size("w"), F.lit(window)))
     starts = F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)
     cut = given.select("item", "length", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, F.col("length")))).alias("words"))
-    return cut.groupBy(F.xxhash64(_hashes(F.col("words"))).alias("hash"), "length", "words").agg(F.collect_set("item").alias("items"))
+    found = cut.groupBy(F.xxhash64("words").alias("hash"), "length", "words").agg(F.collect_set("item").alias("items"))
+    # The longest word, the first of them, is the anchor: long words are rare, so few places of a text need their window hashed.
+    sizes = F.transform("words", lambda w: F.length(w))
+    return found.withColumn("offset", F.array_position(sizes, F.array_max(sizes)).cast("int") - 1).withColumn("anchor", F.element_at("words", F.col("offset") + 1))
 
 
 def _text_key(text) -> F.Column:
@@ -60,13 +53,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     Rows are told apart by key and text, so repeated rows give one row here and a null key is a key like any other.
     """
     windows = stage(benchmark_windows(benchmark, item, item_text), "windows")
-    lengths = [r[0] for r in windows.select("length").distinct().collect()]  # at most ``WINDOW`` numbers
+    anchors = checked(stage(windows.select("anchor", "offset", "length").distinct(), "anchors"), BROADCAST_WINDOWS)
     given = docs.select(F.col(key).alias("doc"), _text_key(F.col(text)).alias("text_key"), words_of(F.col(text)).alias("w"))
-    # A lambda's variable is computed once per row; a column of its own could be inlined into the inner lambda.
-    bound = F.transform(F.array(_hashes(F.col("w"))), lambda h: F.flatten(F.array(*[_window_hashes(h, n) for n in lengths])))
-    runs = F.flatten(bound) if lengths else F.array().cast("array<struct<hash:bigint,at:int,length:int>>")
-    spread = given.withColumn("run", F.explode(runs)).select("doc", "text_key", "w", "run.*")
-    found = spread.join(checked(windows, BROADCAST_WINDOWS), ["hash", "length"]).where(F.slice("w", F.col("at") + 1, F.col("length")) == F.col("words"))
+    spread = given.select("doc", "text_key", "w", F.posexplode("w").alias("place", "anchor"))
+    runs = spread.join(anchors, "anchor").withColumn("at", F.col("place") - F.col("offset")).where((F.col("at") >= 0) & (F.col("at") + F.col("length") <= F.size("w")))
+    runs = runs.select("doc", "text_key", "at", "length", F.slice("w", F.greatest(F.col("at") + 1, F.lit(1)), F.col("length")).alias("run")).withColumn("hash", F.xxhash64("run"))
+    found = runs.join(checked(windows.select("hash", "length", "words", "items"), BROADCAST_WINDOWS), ["hash", "length"]).where(F.col("run") == F.col("words"))
     each = found.groupBy("doc", "text_key").agg(
         F.array_sort(F.collect_set(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("length")).alias("end")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),

@@ -171,7 +171,7 @@ def _brute_hits(texts, items):
 ITEMS = [(1, "The QUICK brown fox jumps over the lazy dog and runs away"), (2, "Short item"), (3, None), (4, ""), (10, "short ITEM"), (5, "...")]
 DIRTY = {
     1: "x the quick, brown fox jumps over the lazy dog and-runs away. y",
-    2: "a short item here, SHORT; item",
+    2: "a short item here and there with more words, SHORT; item",
     3: None,
     4: "clean text",
     5: "the quick brown fox jumps over the lazy dog and walks",
@@ -203,7 +203,7 @@ def test_removal_leaves_no_passage_and_clean_rows(spark, odd):
     kept = {r["doc_id"]: r["text"] for r in decontamination.remove(given, bench).collect()}
     assert all(hit == 0 for _, hit, _ in _brute_hits(kept, ITEMS).values())
     assert kept[3] is None and kept[4] == "clean text" and 6 not in kept and 1 not in kept
-    assert kept[2] == "a here,;" or kept[2].startswith("a here")
+    assert kept[2] == "a here and there with more words"
     left = decontamination.remove(odd, bench)
     assert left.columns == odd.columns and left.count() == len(ODD)
 
