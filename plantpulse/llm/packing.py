@@ -31,6 +31,16 @@ CACHE_UNIT = 40
 _UNEVEN = re.compile(r" (?:\s|\Z)")
 
 
+_encoder_of: dict[str, "Encoder"] = {}
+
+
+def encoder(path: str) -> "Encoder":
+    """The worker's encoder of a tokenizer file, kept with its cache from task to task."""
+    if path not in _encoder_of:
+        _encoder_of[path] = Encoder(path)
+    return _encoder_of[path]
+
+
 class Encoder:
     """Ids of whole texts as packed unsigned 32-bit integers, equal to those of the tokenizer file.
 
@@ -106,11 +116,11 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     last = array("I", [end]).tobytes()
 
     def cut_up(batches):
-        encoder, block, placed = Encoder(tokenizer), TaskContext.get().partitionId(), {}
+        own, block, placed = encoder(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
             for k, t in zip(batch["k"], batch["t"]):
-                ids = encoder.encode(t) + last
+                ids = own.encode(t) + last
                 for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     place = placed.get(length, 0)
                     placed[length] = place + 1
