@@ -25,6 +25,7 @@ CACHE_ENTRIES = 400_000
 CACHE_UNIT = 48
 
 _model_of: dict[str, tuple] = {}
+_cache_of: dict[str, dict[str, int]] = {}
 
 
 def _model(path: str):
@@ -64,7 +65,8 @@ class Counter:
     """Counts tokens of texts with the broadcast table in front of a bounded cache."""
 
     def __init__(self, path: str, frequent: dict[str, int], split: bool):
-        self.path, self.frequent, self.split, self.cache = path, frequent, split, {}
+        self.path, self.frequent, self.split = path, frequent, split
+        self.cache = _cache_of.setdefault(path, {})  # kept from task to task of a worker
 
     def whole(self, text: str) -> int:
         return len(_model(self.path)[0].encode(text, num_threads=1))
@@ -83,7 +85,7 @@ class Counter:
                 missed.append([])
         new = list(set().union(*missed).difference(self.cache))
         if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache = {}
+            self.cache.clear()
             new = list(set().union(*missed))
         cache = self.cache
         cache.update(zip(new, unit_lengths(self.path, new)))
