@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -43,21 +44,29 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown car", "stupid simple", "sore loser board", "not stupid", "no idiot", "not worthless")
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-# A sign stands for a letter only between or before letters; at the end of a word it is punctuation.
+# A sign stands for a letter only before or between letters, a digit after letters too; other signs are punctuation.
 _SIGNS = re.compile(r"[0134578@$!|€]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$|€]+")
 _GLYPHS = str.maketrans({**HOMOGLYPHS, "ſ": "s"} | {chr(0xFF41 + i): chr(97 + i) for i in range(26)})
+_GLYPH = re.compile(f"[{''.join(map(chr, _GLYPHS))}]")
 _SIGN_OF = str.maketrans(SUBSTITUTES)
 
 
+@lru_cache(maxsize=100_000)
+def _fold_word(word: str) -> str:
+    """Letters of a word that has other characters, with signs read as letters; parts between other characters are words."""
+    return " ".join(_LETTERS.findall(_SIGNS.sub(lambda m: m.group().translate(_SIGN_OF), word)))
+
+
 def fold(text: str | None) -> str:
     """Folded words between single spaces, with a space at both ends; empty without words."""
     if not text:
         return ""
     low = text.lower()
-    if not low.isascii():
+    if not low.isascii() and _GLYPH.search(low):
         low = low.translate(_GLYPHS)
-    found = _LETTERS.findall(_SIGNS.sub(lambda m: m.group().translate(_SIGN_OF), low))
-    return f" {' '.join(found)} " if found else ""
+    found = [w if w.isalpha() else _fold_word(w) for w in low.split()]
+    line = " ".join(filter(None, found))
+    return f" {line} " if line else ""
 
 
 class Lexicon(NamedTuple):
