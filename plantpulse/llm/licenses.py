@@ -176,8 +176,7 @@ class Scanner:
         self.automaton = matching.automaton(patterns)
 
     def scan(self, text: str | None) -> dict:
-        found = matching.words(text)
-        line = f" {' '.join(found)} "
+        n_words, line = matching.spaced(text)
         base, labels, miss, tagged = [], set(), 1.0, False
         base_labels, expressions = set(), []
         for start, _, values in matching.places(self.automaton, line):
@@ -204,7 +203,7 @@ class Scanner:
                 labels.update(label_of(x) for i, x in enumerate(parsed) if x not in _RANK and not (i + 1 < len(parsed) and parsed[i + 1] == "with"))
                 miss = min(miss, 1.0 - TAG_SURE)
         return {
-            "n_words": len(found),
+            "n_words": n_words,
             "n_base": len(base),
             "first_word": min(base, default=None),
             "last_word": max(base, default=None),
