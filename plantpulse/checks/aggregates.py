@@ -272,7 +272,7 @@ _PICKS = {
 def _resampling(method: str):
     sql = f"""WITH {PATCHY},
     placed AS (SELECT *, row_number() OVER (ORDER BY timestamp, event_id) AS place FROM patchy
-               WHERE timestamp IS NOT NULL AND (note = 'view' OR note = 'error')),
+               WHERE timestamp IS NOT NULL),
     made AS (SELECT {floor_sql('timestamp', 20 * MINUTE)} AS bucket, run_id, {_PICKS[method]} AS v,
                     arg_min(health_status, place) FILTER (WHERE health_status IS NOT NULL) AS s
              FROM placed GROUP BY 1, 2)
@@ -281,7 +281,7 @@ def _resampling(method: str):
 
     @check(f"resample_{method}", sql)
     def query(spark, folder):
-        table = patchy(spark, folder).where("note in ('view', 'error')").drop("note")
+        table = patchy(spark, folder).drop("note")
         return resample.resample(table, "20min", method, key="event_id")
 
     return query

@@ -86,6 +86,23 @@ def clean_status(spark, folder):
     return events(spark, folder).select("event_id", status.clean_status(dirty).alias("health_status"))
 
 
+# Layouts by event_id % 10, and how much of the time each keeps.
+_LAYOUTS = {
+    0: ("MM-dd-yyyy HH:mm", "minute"), 1: ("yyyyMMdd", "day"), 2: ("yyyy/MM/dd", "day"), 3: ("yyyy.MM.dd", "day"), 4: ("MMM d yyyy", "day"),
+    5: ("M/d/yyyy h:mm a", "minute"), 6: ("M/d/yyyy H:mm:ss.SSS", "milliseconds"), 7: ("MMM d, yyyy h:mm:ss a", "second"),
+    8: ("d MMM yyyy HH:mm:ss", "second"), 9: ("yyyy-MM-dd HH:mm:ss.SSSSSS", "microseconds"),
+}
+_KEPT = " ".join("WHEN {} THEN {}".format(i, text(f"date_trunc('{part}', ts)")) for i, (_, part) in _LAYOUTS.items())
+
+
+@check("parse_ts_layouts", f"SELECT event_id, CASE event_id % 10 {_KEPT} END AS timestamp FROM events")
+def parse_ts_layouts(spark, folder):
+    """Every time in one of ten layouts, month before day."""
+    layout = F.col("event_id") % 10
+    raw = F.coalesce(*[F.when(layout == i, F.date_format("ts", pattern)) for i, (pattern, _) in _LAYOUTS.items()])
+    return events(spark, folder).select("event_id", timebase.parse_timestamp(raw).alias("timestamp"))
+
+
 @check(
     "parse_ts_mixed",
     f"""SELECT event_id, CASE event_type

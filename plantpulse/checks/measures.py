@@ -25,6 +25,17 @@ def check_missing(spark, folder):
     return quality.check_missing(patchy(spark, folder))
 
 
+@check(
+    "check_missing_nan",
+    f"""WITH {READINGS}, holes AS (SELECT count(*) FILTER (WHERE sensor_value > 100) AS n FROM readings)
+    SELECT 'sensor_value' AS "column", {whole('n')} AS missing FROM holes WHERE n > 0 UNION ALL SELECT '*', {whole('n')} FROM holes""",
+)
+def check_missing_nan(spark, folder):
+    """NaN readings count as missing."""
+    value = F.when(F.col("sensor_value") > 100, F.lit(float("nan"))).otherwise(F.col("sensor_value"))
+    return quality.check_missing(readings(spark, folder).withColumn("sensor_value", value))
+
+
 _DUPLICATES = "count(*) - count(DISTINCT timestamp) - CASE WHEN count(*) > count(timestamp) THEN 1 ELSE 0 END"
 
 

@@ -81,6 +81,51 @@ def multi_run_union(spark, folder):
     return loaded.select("run_id", "timestamp", "bearing_temp_c", "oil_temp_c", "health_status", "warning_type", "failure_type")
 
 
+# Run files by status: their ids, warning and failure types as the SQL of the query below has them.
+_THREE = {"Normal": "normal_run-1.csv", "Failure": "failure_4_cavitation.csv", "Warning": "warning_2_axial_vibration_increase.csv"}
+
+
+@check(
+    "load_runs_7min",
+    f"""WITH {READINGS}, runs AS (
+        SELECT *, CASE health_status WHEN 'Normal' THEN 1 WHEN 'Failure' THEN 2 ELSE 3 END AS run FROM readings),
+    days AS (SELECT run, date_trunc('day', min(timestamp)) AS origin FROM runs GROUP BY run),
+    placed AS (SELECT run, health_status, sensor_value,
+                      make_timestamp(epoch_us(timestamp) - (epoch_us(timestamp) - epoch_us(origin)) % 420000000) AS bucket
+               FROM runs JOIN days USING (run))
+    SELECT run AS run_id, {text('bucket')} AS timestamp, {num('avg(sensor_value)')} AS bearing_temp_c, any_value(health_status) AS health_status,
+           CASE run WHEN 3 THEN 'axial_vibration_increase' END AS warning_type, CASE run WHEN 2 THEN 'cavitation' END AS failure_type
+    FROM placed GROUP BY run, bucket""",
+)
+def load_runs_7min(spark, folder):
+    """A frequency that does not divide a day, over runs without a warning or a failure type."""
+    base = new_folder(spark, "runs")
+    for status, name in _THREE.items():
+        run = readings(spark, folder).where(F.col("health_status") == status)
+        run.select("timestamp", F.col("sensor_value").alias("bearing_temp_c"), "health_status").write.options(**CSV_OPTIONS).csv(f"{base}/{name}")
+    loaded = sources.load_runs(spark, [f"{base}/{n}" for n in _THREE.values()], labels=True, frequency="7min")
+    return loaded.select("run_id", "timestamp", "bearing_temp_c", "health_status", "warning_type", "failure_type")
+
+
+@check(
+    "load_runs_mixed_headers",
+    f"""WITH {READINGS}
+    SELECT 1 AS run_id, {text('timestamp')} AS timestamp, {num('sensor_value')} AS bearing_temp_c, {num('sensor_value * 3')} AS oil_temp_c, health_status
+    FROM readings""",
+)
+def load_runs_mixed_headers(spark, folder):
+    """One run whose parts have their columns in different orders."""
+    path = f"{new_folder(spark, 'runs')}/normal_run-1.csv"
+    table = readings(spark, folder).select(
+        "event_id", "timestamp", F.col("sensor_value").alias("bearing_temp_c"), (F.col("sensor_value") * 3).alias("oil_temp_c"), "health_status"
+    )
+    orders = (["timestamp", "bearing_temp_c", "oil_temp_c", "health_status"], ["oil_temp_c", "health_status", "timestamp", "bearing_temp_c"])
+    for i, names in enumerate(orders):
+        table.where(F.col("event_id") % 2 == i).select(*names).write.mode("append").options(**CSV_OPTIONS).csv(path)
+    loaded = sources.load_runs(spark, [path])
+    return loaded.select("run_id", "timestamp", "bearing_temp_c", "oil_temp_c", "health_status")
+
+
 _WHOLE_RUN_CUT = "(SELECT min(run_id) FROM (SELECT DISTINCT run_id FROM readings ORDER BY run_id DESC LIMIT 2))"
 
 

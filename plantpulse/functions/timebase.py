@@ -19,7 +19,11 @@ _UNIT_MICROS = {
 _MICROS = {name: micros for names, micros in _UNIT_MICROS.items() for name in names}
 
 # Tried in this order after Spark's own ISO reading; month comes before day.
-TIMESTAMP_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm")
+_CLOCK = "[ H:mm[:ss[.SSSSSSSSS]]]"
+TIMESTAMP_FORMATS = (
+    *(f"{date}{_CLOCK}" for date in ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "MMM d[,] yyyy", "d MMM yyyy")),
+    *(f"{date} h:mm[:ss[.SSSSSSSSS]] a" for date in ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "yyyy/M/d", "MMM d[,] yyyy")),
+)
 
 
 def frequency_micros(frequency: str) -> int:
@@ -49,8 +53,16 @@ def floor_time(time: Column, frequency: str, origin: Column | None = None) -> Co
 
 
 def parse_timestamp(text: Column, formats=TIMESTAMP_FORMATS) -> Column:
-    """Timestamp from text in one of several layouts; text that fits none gives null."""
-    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    """Timestamp from text in one of several layouts; text that fits none gives null (see ``unread_timestamps``)."""
+    text = F.trim(text)
+    # Eight digits are a date, not a year, which Spark's own reading could take them for.
+    own = F.when(~text.rlike("^[0-9]{5,}$"), F.try_to_timestamp(text))
+    return F.coalesce(own, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
+def unread_timestamps(text: Column, formats=TIMESTAMP_FORMATS) -> Column:
+    """An aggregate: how many non-blank texts no layout fits."""
+    return F.count_if((F.trim(text) != "") & parse_timestamp(text, formats).isNull())
 
 
 def in_time_range(time: Column, end: Column, length: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 from ..columns import RUN, STATUS, TIMESTAMP, numeric_columns, require_columns
 from ..functions.statistics import STANDARD, majority, statistic
 from ..functions.timebase import floor_time, frequency_interval
+from .filters import nan_to_null
 from .ordering import GROUP_ROWS, with_next, with_previous
 from .selection import grouped_quantiles
 
 _WINDOW = "_window"
 # Statistics that need the third or fourth moment.
 MOMENTS = {"skewness", "kurtosis", "population_skewness", "population_kurtosis"}
-# Labels that are counted one by one; a target with more values goes through Spark's ``mode``.
+# Labels that are counted one by one; with more values the labels are counted as rows of their own.
 LABELS = 64
 
 
@@ -55,7 +57,7 @@ def aggregate_windows(
     several sensors they are therefore taken over (sensor, value) pairs and brought back into columns by
     a second, small aggregation; both combine map-side.
     """
-    votes = [majority(F.col(c), known).alias(c) for c, known in labels.items()]
+    votes = [majority(F.col(c), known).cast(df.schema[c].dataType).alias(c) for c, known in labels.items()]
     votes += [F.count(F.lit(1)).alias(count)] if count else []
     if len(sensors) < 2 or not set(statistics) & MOMENTS:
         return df.groupBy(*keys).agg(*feature_aggregates(sensors, statistics), *votes)
@@ -97,7 +99,7 @@ def extract_features(
     present = F.col(time).isNotNull()
     for key in keys:
         present = present & F.col(key).isNotNull()
-    rows = df.where(present).withColumn(_WINDOW, floor_time(F.col(time), window))
+    rows = nan_to_null(df.where(present)).withColumn(_WINDOW, floor_time(F.col(time), window))
     return _windowed(rows, keys, time, target, exclude, statistics, labels, carry)
 
 
@@ -114,7 +116,7 @@ def sliding_features(
     """As :func:`extract_features` over overlapping windows that start every ``slide``."""
     keys = [RUN] if RUN in df.columns else []
     span = F.window(F.col(time), frequency_interval(window), frequency_interval(slide))
-    rows = df.withColumn(_WINDOW, span).withColumn(_WINDOW, F.col(f"{_WINDOW}.start"))
+    rows = nan_to_null(df).withColumn(_WINDOW, span).withColumn(_WINDOW, F.col(f"{_WINDOW}.start"))
     return _windowed(rows, keys, time, target, exclude, statistics, labels, ())
 
 
@@ -123,7 +125,16 @@ def _windowed(rows, keys, time, target, exclude, statistics, labels, carry) -> D
     named = {target: labels} if target in rows.columns else {}
     named.update({c: None for c in carry})
     named = {c: known or known_labels(rows, c) for c, known in named.items()}
-    table = aggregate_windows(rows, [_WINDOW, *keys], sensors, statistics, named)
+    # Labels too many to be counted one by one are counted as rows and joined: the same vote, ties and type.
+    many = [c for c, known in named.items() if known is None]
+    table = aggregate_windows(rows, [_WINDOW, *keys], sensors, statistics, {c: k for c, k in named.items() if k is not None})
+    for c in many:
+        votes = majority_labels(rows, [_WINDOW, *keys], c).withColumnsRenamed({k: f"_of_{k}" for k in (_WINDOW, *keys)})
+        same = reduce(Column.__and__, [table[k].eqNullSafe(F.col(f"_of_{k}")) for k in (_WINDOW, *keys)])
+        table = table.join(votes, same, "left").drop(*[f"_of_{k}" for k in (_WINDOW, *keys)])
+    if many:
+        own = [c for c in table.columns if c not in named]
+        table = table.select(*own, *[c for c in named])
     return table.withColumnRenamed(_WINDOW, time)
 
 

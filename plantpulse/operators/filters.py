@@ -42,10 +42,13 @@ def configured_filter(df: DataFrame, column: str, operator: str, value) -> DataF
     if operator == "!=":
         return df.where(~F.col(column).eqNullSafe(value))
     if operator == "in":
-        values = list(value)
+        # Values of one Python type are cast to the column's type, whatever their number; a null is in no list.
+        kind, values = df.schema[column].dataType, [v for v in dict.fromkeys(value) if v is not None]
+        if not values:
+            return df.where(F.lit(False))
         if len(values) <= IN_LIST:
-            return df.where(F.col(column).isin(values))
-        wanted = df.sparkSession.createDataFrame([(v,) for v in set(values)], T.StructType([df.schema[column]]))
+            return df.where(F.col(column).isin([F.lit(v).cast(kind) for v in values]))
+        wanted = df.sparkSession.createDataFrame([(v,) for v in values], [column]).select(F.col(column).cast(kind))
         return df.join(small_side(wanted), column, "left_semi")
     raise ValueError(f"unknown filter operator: {operator}")
 

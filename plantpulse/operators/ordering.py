@@ -11,6 +11,7 @@ table of block summaries. Both ways give the same rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,8 +161,11 @@ def fill_window(df: DataFrame, groups: Sequence[str], order: Sequence[str], size
     are ranked; longer ones pass through. Adds the 1-based ``position`` (null in long groups).
     """
     short = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < size)
-    short = small_side(short)
-    rows = df.join(short, list(groups), "inner")
+    named = short.select(*[F.col(g).alias(f"_of_{g}") for g in groups], "_n")
+    short = small_side(named)
+    # Null-safe: rows without a key are a group too.
+    same = reduce(Column.__and__, [df[g].eqNullSafe(F.col(f"_of_{g}")) for g in groups])
+    rows = df.join(short, same, "inner")
     place = F.row_number().over(_plain_window(groups, order))
     repeated = (
         rows.withColumn("_place", place)
@@ -170,5 +174,5 @@ def fill_window(df: DataFrame, groups: Sequence[str], order: Sequence[str], size
         .where(F.col("position") <= size)
         .select(*df.columns, "position")
     )
-    rest = df.join(short, list(groups), "left_anti").withColumn("position", F.lit(None).cast("bigint"))
+    rest = df.join(short, same, "left_anti").withColumn("position", F.lit(None).cast("bigint"))
     return repeated.unionByName(rest)

@@ -12,7 +12,9 @@ from ..functions.status import status_code
 
 def as_number(column: Column) -> Column:
     """The value as a double, null where it is no number."""
-    value = column.try_cast("double")
+    # Casting also takes the suffixes of Java's literals, such as 12f, which are no numbers here.
+    text = F.trim(column.cast("string"))
+    value = F.when(~text.rlike("(?i)[0-9.][fd]$"), column.try_cast("double"))
     return F.when(~F.isnan(value), value)
 
 

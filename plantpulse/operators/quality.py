@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..columns import RUN, TIMESTAMP, numeric_columns
 from ..storage import small_side, stage
+from .filters import nan_to_null
 from .ordering import GROUP_ROWS, with_previous
 from .selection import grouped_quantiles
 
@@ -26,9 +27,9 @@ def _melt(row: DataFrame, names: list[str], measures: list[str]) -> DataFrame:
 
 
 def check_missing(df: DataFrame) -> DataFrame:
-    """(column, missing) for each column with nulls, and the total under ``*``."""
+    """(column, missing) for each column with nulls, and the total under ``*``; NaN is missing too."""
     names = df.columns
-    counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in names])
+    counted = nan_to_null(df).agg(*[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in names])
     total = reduce(Column.__add__, [F.col(f"missing_{c}") for c in names])
     per_column = _melt(counted.withColumn("missing_*", total), [*names, "*"], ["missing"])
     return per_column.where((F.col("missing") > 0) | (F.col("column") == "*"))

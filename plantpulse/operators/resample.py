@@ -55,11 +55,17 @@ def resample(
     if _DAY % frequency_micros(frequency):
         first_days = dated.groupBy(*groups).agg(F.date_trunc("day", F.min(time)).alias("_origin"))
         if groups:
-            dated = dated.join(small_side(first_days), groups)
+            # Null-safe: a run without a label or an id is a group like any other.
+            named = first_days.select(*[F.col(g).alias(f"_of_{g}") for g in groups], "_origin")
+            same = reduce(Column.__and__, [dated[g].eqNullSafe(F.col(f"_of_{g}")) for g in groups])
+            dated = dated.join(small_side(named), same).drop(*[f"_of_{g}" for g in groups])
         else:
             dated = dated.withColumn("_origin", F.lit(first_days.first()[0]))
         origin = F.col("_origin")
     values = [*numbers, *others]
+    if not values:
+        # Nothing but times: the buckets that hold one.
+        return dated.select(*groups, floor_time(F.col(time), frequency, origin).alias(time)).distinct()
     return (
         dated.groupBy(*groups, floor_time(F.col(time), frequency, origin).alias(_BUCKET))
         .agg(*[combined(c) for c in values])

@@ -72,7 +72,7 @@ def _run_table(spark: SparkSession, files: Sequence[str], paths: Sequence[str],
 
 
 def _headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, ...]]:
-    """Column names of each run, looked up side by side; each look-up reads one line."""
+    """Column names of each file, looked up side by side; each look-up reads one line."""
     first_line = lambda path: tuple(spark.read.option("header", True).option("escape", '"').csv(path).columns)
     with ThreadPoolExecutor(_LOOKUPS) as pool:
         return list(pool.map(first_line, paths))
@@ -83,7 +83,8 @@ def _read_group(spark: SparkSession, paths: list[str], header: tuple[str, ...])
     reader = spark.read.option("header", True).option("escape", '"')
     if all(name in _KNOWN_TYPES for name in header):
         fields = [T.StructField(n, T.StringType() if n == TIMESTAMP else _KNOWN_TYPES[n]) for n in header]
-        df = reader.schema(T.StructType(fields)).csv(paths)
+        # A header that differs from the schema raises: values never land in another column.
+        df = reader.schema(T.StructType(fields)).option("enforceSchema", False).csv(paths)
     else:
         df = reader.option("inferSchema", True).option("timestampFormat", "'never'").csv(paths)
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
@@ -102,13 +103,15 @@ def load_runs(
     """Read many run files, number the runs in list order, clean, resample and label them.
 
     A run is a CSV file or a folder of CSV parts. Files are read together per distinct header and
-    united by column name. Give the ``header`` where all files share a known one; otherwise each
-    run's first line is looked up. With ``labels`` the warning or failure type is read off the path.
+    united by column name. Give the ``header`` where all files share a known one (a file with another one
+    raises); otherwise each part file's first line is looked up. With ``labels`` the warning or failure type is read off the path.
     """
     if not paths:
         return spark.createDataFrame([], T.StructType([*READING_SCHEMA, T.StructField(RUN, T.LongType())]))
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path, columns in zip(paths, _headers(spark, paths) if header is None else [tuple(header)] * len(paths)):
+    # Parts of a run may differ in their columns, so every part file's own header is looked up.
+    parts = paths if header is not None else spark.read.format("text").load(list(paths)).inputFiles()
+    for path, columns in zip(parts, _headers(spark, parts) if header is None else [tuple(header)] * len(paths)):
         by_header.setdefault(columns, []).append(path)
     read = [_read_group(spark, group, header) for header, group in by_header.items()]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
@@ -144,7 +147,7 @@ def load_split(
             return reader(path)
         return read_csv(spark, path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
 
-    tables = read(train_path), read(test_path)
+    tables = nan_to_null(read(train_path)), nan_to_null(read(test_path))
     if condition is None:
         return tables
     return tuple(configured_filter(t, *condition) for t in tables)
