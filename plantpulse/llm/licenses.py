@@ -144,6 +144,9 @@ def expression_at(text: str) -> list[str]:
     for item in items:
         is_name = item not in "()" and item.lower() not in _RANK
         if operand and (is_name or item == "("):
+            # Prose: what a small and, or, with before it joins is prose too.
+            if end > 1 and items[end - 2] in _RANK:
+                end -= 2
             break
         operand = is_name or item == ")"
         end += 1

@@ -74,9 +74,12 @@ def tokens_of(url) -> F.Column:
     scheme = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"\A([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     plain = F.regexp_replace(F.lower(path), "[0-9]+", "#")
     parts = (("scheme", F.array(scheme)), ("host", F.split(host, r"\.")), ("path", F.split(plain, "[^a-z0-9#]+")), ("query", F.transform(F.split(F.lower(query), "&"), lambda q: F.regexp_extract(q, "^[^=]*", 0))))
-    named = [F.transform(F.filter(words, lambda w: w != ""), lambda w, p=part: F.concat(F.lit(f"{p}="), w)) for part, words in parts]
-    words_in_host = F.transform(F.filter(F.split(host, r"[.-]"), lambda w: w != ""), lambda w: F.concat(F.lit("word="), w))
-    return F.array_distinct(F.concat(*named, words_in_host))
+    named = [_named(part, words) for part, words in (*parts, ("word", F.split(host, "[.-]")))]
+    return F.array_distinct(F.concat(*named))
+
+
+def _named(part: str, words) -> F.Column:
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit(f"{part}="), w))
 
 
 def mine(pages: DataFrame, url: str = "url", blocked: str = "blocked", support: float = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE_PAGES) -> DataFrame:
