@@ -110,7 +110,7 @@ def load_runs(
         return spark.createDataFrame([], T.StructType([*READING_SCHEMA, T.StructField(RUN, T.LongType())]))
     by_header: dict[tuple[str, ...], list[str]] = {}
     # Parts of a run may differ in their columns, so every part file's own header is looked up.
-    parts = paths if header is not None else spark.read.format("text").load(list(paths)).inputFiles()
+    parts = paths if header is not None else [unquote(f) for f in spark.read.text(list(paths)).inputFiles()]
     for path, columns in zip(parts, _headers(spark, parts) if header is None else [tuple(header)] * len(paths)):
         by_header.setdefault(columns, []).append(path)
     read = [_read_group(spark, group, header) for header, group in by_header.items()]
