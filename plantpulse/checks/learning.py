@@ -1,7 +1,8 @@
 """Models: training, prediction, the two-layer hierarchy and configured layers.
 
-Trained trees have no SQL counterpart, so those queries are checked by tests; the hierarchy and the
-confidence map are also checked in SQL with rules in place of models.
+Trained trees have no SQL counterpart. Their queries return, for every test window, what must hold of a prediction whatever
+the trees are; SQL redoes windows, majorities and split. The hierarchy and the confidence map are also checked in
+SQL with rules in place of models, and the values of predictions by tests.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from ..operators import features, hierarchy, model, splits
 from ..plans import layer
 from ..plans.spec import LayerSpec
 from ..storage import new_folder, stage
-from .base import DAY, READINGS, RUN_FILES, WIDE_SENSORS, events, floor_sql, num, readings, readings_wide, registry, text
+from .base import DAY, READINGS, READINGS_WIDE, RUN_FILES, WIDE_SENSORS, events, floor_sql, num, readings, readings_wide, registry, text
 from .ordering import rule_models
+from .partitions import quota_split_sql
 
 CHECKS, check = registry()
 
@@ -88,18 +90,43 @@ def _training_table(spark, folder):
     return splits.split_by_run(stage(table.withColumn("row_key", key), "training"), "row_key")
 
 
-@check("train_predict_forest")
+# The windows of the training table with their majority status and row key, split in SQL as in Spark.
+_WINDOWS = f"""{READINGS_WIDE},
+    votes AS (SELECT {floor_sql('timestamp', 30 * DAY)} AS win, run_id, health_status,
+                     row_number() OVER (PARTITION BY {floor_sql('timestamp', 30 * DAY)}, run_id ORDER BY count(*) DESC, health_status) AS place
+              FROM readings_wide GROUP BY 1, 2, 3),
+    windows AS (SELECT win, run_id, health_status, CAST(run_id AS VARCHAR) || '@' || CAST(epoch_us(win) AS VARCHAR) AS row_key
+                FROM votes WHERE place = 1)"""
+_TEST_WINDOWS = f"""WITH chosen AS ({quota_split_sql("windows", _WINDOWS, "run_id", "health_status", "row_key", ", win")}),
+    test AS (SELECT {text('win')} AS timestamp, run_id, health_status FROM chosen WHERE split = 'test')"""
+_FACTS_SQL = f"{_TEST_WINDOWS} SELECT timestamp, run_id, true AS known, true AS whole, true AS best"
+
+
+def _facts(scored, classes):
+    """Of a prediction ``label`` with probabilities ``p``: a known class, probabilities that make one, the likeliest class."""
+    p, label = F.col("p"), F.col("label")
+    own = F.element_at("p", F.array_position(F.array(*map(F.lit, classes)), label).cast("int"))
+    total = F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
+    return scored.select(
+        "timestamp", "run_id", label.isin(*STATUSES).alias("known"), (F.abs(total - 1) < 1e-9).alias("whole"),
+        (own == F.array_max(p)).alias("best"), *[c for c in scored.columns if c == "reload_agrees"],
+    )
+
+
+@check("train_predict_forest", f"{_FACTS_SQL}, true AS reload_agrees FROM test")
 def train_predict_forest(spark, folder):
-    """Class and probabilities for the test windows from a saved and reloaded forest."""
+    """Every test window scored by a forest and by the same forest saved and reloaded."""
     table = _training_table(spark, folder)
     fitted = model.train(splits.part(table, "train"), kind="forest", trees=10, depth=5)
     path = new_folder(spark, "model")
     fitted.save(path, spark)
     loaded = model.Classifier.load(path, spark)
-    return loaded.predict_table(splits.part(table, "test"), ["timestamp", "run_id"])
+    both = loaded.predict(fitted.predict(splits.part(table, "test"), "label", "p"), "again", "q")
+    agree = (F.col("label") == F.col("again")) & (F.col("p") == F.col("q"))
+    return _facts(both.withColumn("reload_agrees", agree), fitted.classes)
 
 
-@check("train_predict_boosted")
+@check("train_predict_boosted", f"{_FACTS_SQL} FROM test")
 def train_predict_boosted(spark, folder):
     """Boosted trees that stop early on a validation part."""
     table = _training_table(spark, folder)
@@ -107,20 +134,28 @@ def train_predict_boosted(spark, folder):
     fitted = model.train(
         splits.part(rows, "train"), kind="boosted", trees=5, depth=3, rate=0.3, validation=splits.part(rows, "test")
     )
-    return fitted.predict_table(splits.part(table, "test"), ["timestamp", "run_id"])
+    return _facts(fitted.predict(splits.part(table, "test"), "label", "p"), fitted.classes)
 
 
-@check("train_evaluate")
+@check(
+    "train_evaluate",
+    f"""{_TEST_WINDOWS}
+    SELECT health_status AS class, count(*) AS support, true AS in_range FROM test GROUP BY 1
+    UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), count(*), true FROM test""",
+)
 def train_evaluate(spark, folder):
-    """Per-class report of a trained model on the test part."""
+    """Supports of a trained model's per-class report on the test part; every score lies between 0 and 1."""
     table = _training_table(spark, folder)
     fitted = model.train(splits.part(table, "train"), trees=10, depth=5, class_weights=[1, 28, 62], classes=STATUSES)
-    return model.evaluate_classifier(fitted, splits.part(table, "test"))[1]
+    report = model.evaluate_classifier(fitted, splits.part(table, "test"))[1]
+    in_range = F.least("precision", "recall", "f1_score").between(0, 1) & F.greatest("precision", "recall", "f1_score").between(0, 1)
+    # A class that is only ever predicted has no support, and the trees decide whether there is one.
+    return report.where("support > 0").select("class", "support", in_range.alias("in_range"))
 
 
-@check("hier_predict_trained")
+@check("hier_predict_trained", f"{_TEST_WINDOWS} SELECT timestamp, run_id, true AS known, true AS typed, true AS sure FROM test")
 def hier_predict_trained(spark, folder):
-    """Status, warning type and failure type from three trained layers, each scoring its own rows."""
+    """Three trained layers, each scoring its own rows: a type is given exactly where the status asks for one."""
     table = _training_table(spark, folder)
     kind = F.when(F.col("l_quantity_mean") > 25, "power_increase").otherwise("voltage_drop")
     fault = F.when(F.col("l_tax_mean") > 0.04, "cavitation").otherwise("bearing_fault")
@@ -132,7 +167,10 @@ def hier_predict_trained(spark, folder):
     warning = model.train(train.where(F.col("health_status") == WARNING), "warning_type", **settings)
     failure = model.train(train.where(F.col("health_status") == FAILURE), "failure_type", **settings)
     scored = hierarchy.predict_hierarchy(splits.part(table, "test"), status, warning, failure, route=True)
-    return scored.select("timestamp", "run_id", "health_status", "health_confidence", "warning_type", "failure_type")
+    warned, failed = (F.col("health_status") == s for s in (WARNING, FAILURE))
+    typed = (F.col("warning_type").isNotNull() == warned) & (F.col("failure_type").isNotNull() == failed)
+    sure = F.col("health_confidence").between(1 / 3 - 1e-9, 1)
+    return scored.select("timestamp", "run_id", F.col("health_status").isin(*STATUSES).alias("known"), typed.alias("typed"), sure.alias("sure"))
 
 
 def _layer_spec(base: str, target: str, condition=None, kinds=("normal", "failure", "warning")) -> LayerSpec:

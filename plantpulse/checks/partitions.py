@@ -7,11 +7,10 @@ from .base import HOUR, PATCHY, READINGS, floor_sql, patchy, readings, registry,
 
 CHECKS, check = registry()
 
-_DIGEST = "md5('42|' || CAST(event_id AS VARCHAR))"
 
-
-def _quota_split(table: str, source: str, group: str, strata: str) -> str:
-    """Seeded split with largest-remainder quotas; ``group`` is '1' for the whole table."""
+def quota_split_sql(table: str, source: str, group: str, strata: str, key: str = "event_id", more: str = "") -> str:
+    """Seeded split with largest-remainder quotas; ``group`` is '1' for the whole table, ``more`` names columns to add."""
+    digest = f"md5('42|' || CAST({key} AS VARCHAR))"
     return f"""WITH {source},
     keyed AS (SELECT *, {group} AS grp FROM {table}),
     sizes AS (SELECT grp, {strata} AS stratum, count(*) AS n FROM keyed GROUP BY 1, 2),
@@ -20,31 +19,31 @@ def _quota_split(table: str, source: str, group: str, strata: str) -> str:
     shares AS (SELECT *, (n * n_train) // total AS share, (n * n_train) % total AS rest FROM aims),
     quotas AS (SELECT grp, stratum, n - share - CASE WHEN row_number() OVER (PARTITION BY grp ORDER BY rest DESC, stratum NULLS FIRST)
                  <= n_train - sum(share) OVER (PARTITION BY grp) THEN 1 ELSE 0 END AS quota FROM shares),
-    ranked AS (SELECT *, {strata} AS stratum, row_number() OVER (PARTITION BY grp, {strata} ORDER BY {_DIGEST}, event_id) AS place
+    ranked AS (SELECT *, {strata} AS stratum, row_number() OVER (PARTITION BY grp, {strata} ORDER BY {digest}, {key}) AS place
                FROM keyed)
-    SELECT event_id, run_id, health_status, CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS split
+    SELECT {key}, run_id, health_status{more}, CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS split
     FROM ranked r JOIN quotas q ON r.grp = q.grp AND r.stratum IS NOT DISTINCT FROM q.stratum"""
 
 
 _SHOWN = ("event_id", "run_id", "health_status", "split")
 
 
-@check("split_by_run", _quota_split("readings", READINGS, "run_id", "health_status"))
+@check("split_by_run", quota_split_sql("readings", READINGS, "run_id", "health_status"))
 def split_by_run(spark, folder):
     return splits.split_by_run(readings(spark, folder), "event_id").select(*_SHOWN)
 
 
-@check("split_by_run_null_status", _quota_split("patchy", PATCHY, "run_id", "health_status"))
+@check("split_by_run_null_status", quota_split_sql("patchy", PATCHY, "run_id", "health_status"))
 def split_by_run_null_status(spark, folder):
     return splits.split_by_run(patchy(spark, folder), "event_id").select(*_SHOWN)
 
 
-@check("split_by_run_unstratified", _quota_split("readings", READINGS, "run_id", "'all'"))
+@check("split_by_run_unstratified", quota_split_sql("readings", READINGS, "run_id", "'all'"))
 def split_by_run_unstratified(spark, folder):
     return splits.split_by_run(readings(spark, folder), "event_id", stratum=None).select(*_SHOWN)
 
 
-@check("split_stratified", _quota_split("readings", READINGS, "1", "health_status"))
+@check("split_stratified", quota_split_sql("readings", READINGS, "1", "health_status"))
 def split_stratified(spark, folder):
     return splits.split_stratified(readings(spark, folder), "event_id").select(*_SHOWN)
 
@@ -103,7 +102,7 @@ def split_counts(spark, folder):
 
 @check(
     "leakage_runs",
-    f"""WITH chosen AS ({_quota_split("readings", READINGS, "run_id", "health_status")})
+    f"""WITH chosen AS ({quota_split_sql("readings", READINGS, "run_id", "health_status")})
     SELECT run_id FROM chosen WHERE split = 'train' INTERSECT SELECT run_id FROM chosen WHERE split = 'test'""",
 )
 def leakage_runs(spark, folder):

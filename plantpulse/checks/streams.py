@@ -22,6 +22,16 @@ def _replayed(spark, table):
     return flows.replay(spark, path, table.schema)
 
 
+def _in_batches(spark, table, time: str, batches: int = 3, files: int = 4):
+    """A batch table as a stream of several micro-batches that follow each other in time."""
+    path, micros = new_folder(spark, "replay"), F.unix_micros(time)
+    cuts = table.select(F.percentile_approx(micros, [i / batches for i in range(1, batches)])).first()[0]
+    block = sum((F.coalesce(micros > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+    for i in range(batches):  # one after the other: a stream takes the oldest files first
+        table.where(block == i).repartition(files).write.mode("append").parquet(path)
+    return flows.replay(spark, path, table.schema, files_per_trigger=files)
+
+
 def _finish(spark, query, path: str):
     query.awaitTermination()
     return spark.read.parquet(path)
@@ -64,7 +74,7 @@ def stream_points_sink(spark, folder):
 def stream_count_window(spark, folder):
     """Batches of five valid rows per run, scored, with the status carried over the stream."""
     path, progress = _outputs(spark)
-    stream = _replayed(spark, patchy(spark, folder))
+    stream = _in_batches(spark, patchy(spark, folder), "timestamp")
     scored = scoring.score_stream(stream, "event_id", rule_score)
     table = _finish(spark, flows.write_batches(scored, path, progress), path)
     return table.select("event_id", "run_id", "health_status", "fault_type")
@@ -91,6 +101,6 @@ _SCORED_POINTS_SQL = f"""WITH carried AS ({CARRIED_SQL}), source AS (
 def stream_scored_points(spark, folder):
     """The whole scoring stream: validate, batch, score, carry, tag, write."""
     path, progress = _outputs(spark)
-    stream = _replayed(spark, patchy(spark, folder))
+    stream = _in_batches(spark, patchy(spark, folder), "timestamp")
     query = scoring.write_scored_points(stream, "event_id", "plant", path, progress, rule_score)
     return point_entries(_finish(spark, query, path))

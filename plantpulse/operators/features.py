@@ -12,7 +12,7 @@ from ..columns import RUN, STATUS, TIMESTAMP, numeric_columns, require_columns
 from ..functions.statistics import STANDARD, majority, statistic
 from ..functions.timebase import floor_time, frequency_interval
 from .filters import nan_to_null
-from .ordering import GROUP_ROWS, with_next, with_previous
+from .ordering import GROUP_ROWS, with_neighbours, with_previous
 from .selection import grouped_quantiles
 
 _WINDOW = "_window"
@@ -177,7 +177,6 @@ def peak_counts(
         floor_time(F.col(time), window).alias(_WINDOW), RUN, time, key, sensor
     )
     groups, order, x = [_WINDOW, RUN], [time, key], F.col(sensor)
-    paired = with_previous(rows, groups, order, {"_before": x}, limit)
-    paired = with_next(paired, groups, order, {"_after": x}, limit)
+    paired = with_neighbours(rows, groups, order, {"_before": x}, {"_after": x}, limit)
     peaks = F.count_if((x > F.col("_before")) & (x > F.col("_after"))).alias(f"{sensor}_peaks")
     return paired.groupBy(_WINDOW, RUN).agg(peaks).withColumnRenamed(_WINDOW, time)

@@ -37,13 +37,17 @@ def _plain_window(groups: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*groups).orderBy(*order)
 
 
-def _staged_blocks(df: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows in (groups, order) with the range block they fell into and their place inside it."""
+def _staged_blocks(df: DataFrame, groups: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
+    """Rows in (groups, order) with the range block they fell into and their place inside it.
+
+    Blocks are as many as keep one near ``limit`` rows, and no fewer than the session's shuffle partitions.
+    """
     keys = [*groups, *order]
     row_id = F.monotonically_increasing_id()
+    number = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // limit))
     # The generated id holds the partition number above bit 33 and the row number below.
     placed = (
-        df.repartitionByRange(*keys)
+        df.repartitionByRange(number, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_id", row_id)
         .select("*", F.shiftright("_id", 33).alias(_BLOCK), F.col("_id").bitwiseAND((1 << 33) - 1).alias(_SLOT))
@@ -79,7 +83,7 @@ def with_running_totals(
         upto = _plain_window(groups, order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(upto).alias(name) for name, c in totals.items()])
 
-    blocks = _staged_blocks(df.select("*", *[c.alias(f"_t_{n}") for n, c in totals.items()]), groups, order)
+    blocks = _staged_blocks(df.select("*", *[c.alias(f"_t_{n}") for n, c in totals.items()]), groups, order, limit)
     within = Window.partitionBy(_BLOCK, *groups).orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*groups).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -103,35 +107,42 @@ def with_ordinal(
     return with_running_totals(df, groups, order, {name: F.lit(1).cast("bigint")}, limit)
 
 
-def _with_neighbour(df, groups, order, values, limit, forward: bool) -> DataFrame:
-    shift = F.lead if forward else F.lag
+def with_neighbours(
+    df: DataFrame,
+    groups: Sequence[str],
+    order: Sequence[str],
+    previous: Mapping[str, Column] | None = None,
+    following: Mapping[str, Column] | None = None,
+    limit: int = GROUP_ROWS,
+) -> DataFrame:
+    """Add values of the previous and of the next row of the group (null at its ends), from one ordering of the rows."""
+    sides = {side: (shift, edge, dict(values)) for side, shift, edge, values in (
+        ("before", F.lag, F.max_by, previous or {}), ("after", F.lead, F.min_by, following or {})
+    ) if values}
     if _fits_window(df, groups, limit):
         w = _plain_window(groups, order)
-        return df.select("*", *[shift(c).over(w).alias(name) for name, c in values.items()])
+        return df.select("*", *[shift(c).over(w).alias(n) for shift, _, values in sides.values() for n, c in values.items()])
 
-    blocks = _staged_blocks(df.select("*", F.struct(*[c.alias(n) for n, c in values.items()]).alias("_v")), groups, order)
+    carried = [F.struct(*[c.alias(n) for n, c in values.items()]).alias(f"_v_{s}") for s, (_, _, values) in sides.items()]
+    blocks = _staged_blocks(df.select("*", *carried), groups, order, limit)
     within = Window.partitionBy(_BLOCK, *groups).orderBy(_SLOT)
     between = Window.partitionBy(*groups).orderBy(_BLOCK)
-    edge = F.min_by if forward else F.max_by
-    edges = (
-        blocks.groupBy(_BLOCK, *groups)
-        .agg(edge("_v", _SLOT).alias("_edge"))
-        .select(_BLOCK, *groups, shift("_edge").over(between).alias("_outside"))
-    )
-    inside = blocks.select("*", shift("_v").over(within).alias("_inside"))
+    edges = blocks.groupBy(_BLOCK, *groups).agg(*[edge(f"_v_{s}", _SLOT).alias(f"_e_{s}") for s, (_, edge, _) in sides.items()])
+    edges = edges.select(_BLOCK, *groups, *[shift(f"_e_{s}").over(between).alias(f"_o_{s}") for s, (shift, _, _) in sides.items()])
+    inside = blocks.select("*", *[shift(f"_v_{s}").over(within).alias(f"_i_{s}") for s, (shift, _, _) in sides.items()])
     joined = _join_blocks(inside, edges, groups)
-    found = F.coalesce("_inside", "_outside")
-    return joined.select(*df.columns, *[found[n].alias(n) for n in values])
+    found = {s: F.coalesce(f"_i_{s}", f"_o_{s}") for s in sides}
+    return joined.select(*df.columns, *[found[s][n].alias(n) for s, (_, _, values) in sides.items() for n in values])
 
 
 def with_previous(df, groups, order, values: Mapping[str, Column], limit: int = GROUP_ROWS) -> DataFrame:
     """Add values of the previous row of the group (null on its first row)."""
-    return _with_neighbour(df, groups, order, values, limit, forward=False)
+    return with_neighbours(df, groups, order, previous=values, limit=limit)
 
 
 def with_next(df, groups, order, values: Mapping[str, Column], limit: int = GROUP_ROWS) -> DataFrame:
     """Add values of the next row of the group (null on its last row)."""
-    return _with_neighbour(df, groups, order, values, limit, forward=True)
+    return with_neighbours(df, groups, order, following=values, limit=limit)
 
 
 def sort_by_time(df: DataFrame, time: str, key: str) -> DataFrame:

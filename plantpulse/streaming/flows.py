@@ -15,19 +15,20 @@ from ..functions.timebase import frequency_interval
 from ..operators.features import feature_aggregates, sensor_columns
 from ..operators.points import to_points
 
+# Files that one micro-batch takes at most, unless the caller says otherwise.
+FILES_PER_TRIGGER = 64
+
 
 def replay(
     spark: SparkSession,
     folder: str,
     schema: T.StructType | str,
     kind: str = "parquet",
-    files_per_trigger: int | None = None,
+    files_per_trigger: int = FILES_PER_TRIGGER,
     pattern: str | None = None,
 ) -> DataFrame:
-    """Files of a folder as a stream, oldest first; ``files_per_trigger`` sets the pace."""
-    reader = spark.readStream.schema(schema).format(kind)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    """Files of a folder as a stream, oldest first; ``files_per_trigger`` sets the pace and so bounds every micro-batch."""
+    reader = spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files_per_trigger)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if kind == "csv":
