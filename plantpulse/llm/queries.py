@@ -72,10 +72,10 @@ def op3_best_fit_packing(spark, folder):
 
 @query
 def op4_url_rules(spark, folder):
-    """A page is labelled by the document that it has the number of: blocked if that is of low quality or toxic."""
-    pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
-    given = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
-    rules = urls.mine(pages.select("page_id", "url").join(given, "page_id"))
+    """A page outside the held-out fold is labelled by what its whole html shows; the rules are mined on these labels."""
+    pages = table(spark, folder, "pages")
+    given = pages.where(~held_out("page_id")).select("url", urls.shows_spam(F.col("html")).alias("blocked"))
+    rules = urls.mine(given)
     return urls.judge(pages, rules)
 
 

@@ -24,6 +24,10 @@ LEAST_PAGES = 10
 SAMPLE_PAGES = 200_000
 RULES = 10_000
 _BLOCKED = "label=block"
+# A page is junk if runs of signs are more than this share of its words, or if of so many words fewer than this share are distinct.
+NOISY_SHARE, REPEATED_WORDS, DISTINCT_SHARE = 0.2, 40, 0.2
+# --- Fixed values: words that mark the text of a page as spam. ---
+SPAM_WORDS = ("casino", "jackpot", "poker", "bets", "betting", "sportsbook", "pills", "viagra", "cialis")
 
 
 class PathRule(NamedTuple):
@@ -82,6 +86,19 @@ def _named(part: str, words) -> F.Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit(f"{part}="), w))
 
 
+def shows_spam(html) -> F.Column:
+    """Whether the whole text of a page shows spam or junk; null without html. Scripts, styles, comments and tags are left out.
+
+    Evidence is a spam word, runs of signs at many of the words, or few distinct words in a text of some length.
+    """
+    text = F.lower(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " "))
+    text = F.regexp_replace(text, "&amp;", "&")
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    noisy = F.regexp_count(text, F.lit(r"[!#$%&*]{2,}"))
+    spam = text.rlike(r"(?<![a-z])(" + "|".join(SPAM_WORDS) + r")(?![a-z])")
+    return spam | (noisy > NOISY_SHARE * F.size(words)) | ((F.size(words) >= REPEATED_WORDS) & (F.size(F.array_distinct(words)) < DISTINCT_SHARE * F.size(words)))
+
+
 def mine(pages: DataFrame, url: str = "url", blocked: str = "blocked", support: float = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE_PAGES) -> DataFrame:
     """Rules (rule_id, tokens, confidence, pages) from labelled ``pages``; rows without a label or URL are left out.
 

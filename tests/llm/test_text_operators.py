@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plantpulse.llm import chat, decontamination, fingerprints, jaccard, licenses, matching, packing, quality, queries, token_counts, toxicity, urls
@@ -441,6 +442,17 @@ def test_mined_rules(spark):
     assert urls.mine(pages.limit(0)).count() == 0
 
 
+def test_page_labels_come_from_the_pages(spark, tmp_path):
+    shown = lambda html: spark.createDataFrame([(html,)], "html string").select(urls.shows_spam(F.col("html"))).first()[0]
+    assert shown("<p>Best CASINO</p>") and shown("<p>" + "buy!!! now### " * 9 + "</p>") and shown("<b>again and</b> " * 30)
+    assert not shown("<script>casino</script><!-- casino --><p class='casino'>one two three</p>") and not shown("") and shown(None) is None
+    rows = [(i, f"http://{'big-win' if i % 10 == 0 else f'site{i % 7}'}.example.org/de/{i}", "<p>" + ("win at the casino" if i % 10 == 0 else f"plain text {i}") + "</p>") for i in range(300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    verdicts = {r["page_id"]: r["verdict"] for r in queries.QUERIES["op4_url_rules"](spark, str(tmp_path)).collect()}
+    assert all((verdicts[i] == "block") == (i % 10 == 0) for i in range(300))
+
+
 # --- Chat ---
 
 
