@@ -20,10 +20,7 @@ from .common import checked
 SUPPORT, CONFIDENCE, LONGEST = 0.002, 0.6, 4
 # Pages of one combination that must be labelled, at least.
 LEAST_PAGES = 10
-# Labelled pages mined, at most, in the order of a hash.
-SAMPLE_PAGES = 200_000
 RULES = 10_000
-_BLOCKED = "label=block"
 # A page is junk if runs of signs are more than this share of its words, or if of so many words fewer than this share are distinct.
 NOISY_SHARE, REPEATED_WORDS, DISTINCT_SHARE = 0.2, 40, 0.2
 # --- Fixed values: words that mark the text of a page as spam. ---
@@ -99,31 +96,26 @@ def shows_spam(html) -> F.Column:
     return spam | (noisy > NOISY_SHARE * F.size(words)) | ((F.size(words) >= REPEATED_WORDS) & (F.size(F.array_distinct(words)) < DISTINCT_SHARE * F.size(words)))
 
 
-def mine(pages: DataFrame, url: str = "url", blocked: str = "blocked", support: float = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE_PAGES) -> DataFrame:
+def mine(pages: DataFrame, url: str = "url", blocked: str = "blocked", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (rule_id, tokens, confidence, pages) from labelled ``pages``; rows without a label or URL are left out.
 
-    FP-growth runs over at most ``sample`` labelled pages with the label as one more item; a rule is a token set whose share of
-    blocked pages is at least ``confidence``. Sets that hold a smaller rule of the same or higher confidence are pruned.
+    FP-growth runs over all blocked pages, and all labelled pages count; a rule is a token set whose share of blocked pages
+    is at least ``confidence``. Sets that hold a smaller rule of the same or higher confidence are pruned.
     """
-    given = pages.where(F.col(url).isNotNull() & F.col(blocked).isNotNull()).select(tokens_of(F.col(url)).alias("items"), F.col(blocked).cast("boolean").alias("b"), F.xxhash64(url).alias("h"))
-    given = given.orderBy("h").limit(sample).select(F.when(F.col("b"), F.array_append("items", F.lit(_BLOCKED))).otherwise(F.col("items")).alias("items"))
+    given = pages.where(F.col(url).isNotNull() & F.col(blocked).isNotNull()).select(F.array_sort(tokens_of(F.col(url))).alias("items"), F.col(blocked).cast("boolean").alias("b"))
     given = stage(given.where(F.size("items") > 0), "url-items")
-    rows = given.count()
-    empty = "rule_id long, tokens array<string>, confidence double, pages long"
-    if not rows:
-        return pages.sparkSession.createDataFrame([], empty)
-    # Blocked pages alone are mined first: a rule must be frequent among them, and they are the fewer.
-    bad = given.where(F.array_contains("items", _BLOCKED)).select(F.array_remove("items", _BLOCKED).alias("items"))
-    bad_rows = bad.count()
+    rows, bad_rows = given.agg(F.count("*"), F.count_if("b")).first()
     if not bad_rows:
-        return pages.sparkSession.createDataFrame([], empty)
+        return pages.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, pages long")
+    # Blocked pages alone are mined: a rule must be frequent among them, and they are the fewer.
+    bad = given.where("b").select("items")
     least = max(LEAST_PAGES * confidence, support * rows * confidence)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / bad_rows), minConfidence=1.0).fit(bad)
     sets = model.freqItemsets.where(F.size("items") <= LONGEST).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad"))
     # Whether a set is a rule takes its share over all labelled pages: counted through the same index that matching uses.
     sets = stage(sets.where(F.col("bad") >= least), "url-sets").withColumn("rule_id", F.xxhash64("tokens"))
-    met = fitting(given.withColumn("page", F.monotonically_increasing_id()), sets.select("rule_id", "tokens"), "page", "items")
-    counted = met.groupBy("rule_id").agg(F.count("*").alias("pages"))
+    met = fitting(_kinds(given, sets), sets.select("rule_id", "tokens"), "kind", "items", "n")
+    counted = met.groupBy("rule_id").agg(F.sum("n").alias("pages"))
     rules = sets.join(counted, "rule_id").withColumn("confidence", F.col("bad") / F.col("pages")).where((F.col("confidence") >= confidence) & (F.col("pages") >= max(LEAST_PAGES, support * rows)))
     rules = stage(rules.orderBy(F.desc("confidence"), F.desc("pages"), "tokens").limit(RULES).select("rule_id", "tokens", "confidence", "pages"), "url-rules")
     small = rules.select(F.col("tokens").alias("inner"), F.col("confidence").alias("inner_confidence"), F.explode("tokens").alias("token"))
@@ -132,6 +124,14 @@ def mine(pages: DataFrame, url: str = "url", blocked: str = "blocked", support:
     return rules.join(over.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
+def _kinds(given: DataFrame, sets: DataFrame) -> DataFrame:
+    """(kind, items, n): the pages of ``given`` by the tokens that ``sets`` use, with their number; others fit no set."""
+    used = checked(stage(sets.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token")), "url-tokens"))
+    urls = stage(given.groupBy("items").agg(F.count("*").alias("n")), "url-counts")
+    kept = urls.select("items", "n", F.explode("items").alias("token")).join(used, "token").groupBy("items").agg(F.array_sort(F.collect_list("token")).alias("kept"), F.first("n").alias("n"))
+    return stage(kept.groupBy(F.col("kept").alias("items")).agg(F.sum("n").alias("n")).withColumn("kind", F.array_join("items", " ")), "url-kinds")
+
+
 def inverted_index(rules: DataFrame) -> DataFrame:
     """(token, rule_id, tokens): every rule under its rarest token, the one in the fewest rules."""
     spread = rules.select("rule_id", "tokens", F.explode("tokens").alias("token"))
@@ -140,14 +140,14 @@ def inverted_index(rules: DataFrame) -> DataFrame:
     return rarest.select("token", "rule_id", "tokens")
 
 
-def fitting(pages: DataFrame, rules: DataFrame, key: str, tokens: str) -> DataFrame:
-    """(key, rule_id) of every rule whose tokens a page has all, found by the rule's rarest token.
+def fitting(pages: DataFrame, rules: DataFrame, key: str, tokens: str, *others: str) -> DataFrame:
+    """(key, rule_id, others) of every rule whose tokens a page has all, found by the rule's rarest token.
 
     The index is bounded by the number of rules and broadcast while it is small; else it is joined by a shuffle.
     """
     index = checked(stage(inverted_index(rules), "url-index").withColumnRenamed("tokens", "needed"))
-    spread = pages.select(F.col(key), F.col(tokens).alias("own"), F.explode(tokens).alias("token"))
-    return spread.join(index, "token").where(F.size(F.array_except("needed", "own")) == 0).select(key, "rule_id")
+    spread = pages.select(F.col(key), *others, F.col(tokens).alias("own"), F.explode(tokens).alias("token"))
+    return spread.join(index, "token").where(F.size(F.array_except("needed", "own")) == 0).select(key, "rule_id", *others)
 
 
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", path_rules: tuple[PathRule, ...] = PATH_RULES) -> DataFrame:

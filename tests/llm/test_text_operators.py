@@ -442,6 +442,14 @@ def test_mined_rules(spark):
     assert urls.mine(pages.limit(0)).count() == 0
 
 
+def test_every_copy_of_a_url_is_mined(spark):
+    rows = [(f"http://bad{i % 3}.example.org/{i}", True) for i in range(60)] + [(f"http://good.example.org/{i}", False) for i in range(60)]
+    one = [("http://often.example.org/buy", True)]
+    pages = spark.createDataFrame(rows, "url string, blocked boolean").unionByName(spark.range(210_000).select(F.lit(one[0][0]).alias("url"), F.lit(True).alias("blocked")))
+    found = {tuple(r["tokens"]): r["pages"] for r in urls.mine(pages, support=0.00005).collect()}
+    assert found[("host=often",)] == 210_000 and all(found[(f"host=bad{i}",)] == 20 for i in range(3))
+
+
 def test_page_labels_come_from_the_pages(spark, tmp_path):
     shown = lambda html: spark.createDataFrame([(html,)], "html string").select(urls.shows_spam(F.col("html"))).first()[0]
     assert shown("<p>Best CASINO</p>") and shown("<p>" + "buy!!! now### " * 9 + "</p>") and shown("<b>again and</b> " * 30)
