@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from ..storage import stage
 from .common import checked
 
-# Share of labelled pages a combination needs, share of blocked pages among those it fits, tokens in a combination.
-SUPPORT, CONFIDENCE, LONGEST = 0.002, 0.6, 4
+# Share of labelled pages a combination needs, share of blocked pages among those it fits.
+SUPPORT, CONFIDENCE = 0.002, 0.6
 # Pages of one combination that must be labelled, at least.
 LEAST_PAGES = 10
-RULES = 10_000
 # A page is junk if runs of signs are more than this share of its words, or if of so many words fewer than this share are distinct.
 NOISY_SHARE, REPEATED_WORDS, DISTINCT_SHARE = 0.2, 40, 0.2
 # --- Fixed values: words that mark the text of a page as spam. ---
@@ -107,29 +106,65 @@ def mine(pages: DataFrame, url: str = "url", blocked: str = "blocked", support:
     rows, bad_rows = given.agg(F.count("*"), F.count_if("b")).first()
     if not bad_rows:
         return pages.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, pages long")
-    # Blocked pages alone are mined: a rule must be frequent among them, and they are the fewer.
-    bad = given.where("b").select("items")
     least = max(LEAST_PAGES * confidence, support * rows * confidence)
+    kinds, alike = _kinds(given, least)
+    # Blocked pages alone are mined: a rule must be frequent among them, and they are the fewer. Hot kinds are dealt in parts.
+    parts = kinds.where("bad > 0").select("items", "bad", F.explode(F.expr("sequence(0L, (bad - 1) div 10000)")).alias("part")).repartition("items", "part")
+    bad = parts.select("items", F.explode(F.expr("array_repeat(0, int(least(10000L, bad - 10000 * part)))")).alias("one")).select("items")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / bad_rows), minConfidence=1.0).fit(bad)
-    sets = model.freqItemsets.where(F.size("items") <= LONGEST).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad"))
+    sets = model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad"))
     # Whether a set is a rule takes its share over all labelled pages: counted through the same index that matching uses.
     sets = stage(sets.where(F.col("bad") >= least), "url-sets").withColumn("rule_id", F.xxhash64("tokens"))
-    met = fitting(_kinds(given, sets), sets.select("rule_id", "tokens"), "kind", "items", "n")
+    met = fitting(kinds, sets.select("rule_id", "tokens"), "kind", "items", "n")
     counted = met.groupBy("rule_id").agg(F.sum("n").alias("pages"))
     rules = sets.join(counted, "rule_id").withColumn("confidence", F.col("bad") / F.col("pages")).where((F.col("confidence") >= confidence) & (F.col("pages") >= max(LEAST_PAGES, support * rows)))
-    rules = stage(rules.orderBy(F.desc("confidence"), F.desc("pages"), "tokens").limit(RULES).select("rule_id", "tokens", "confidence", "pages"), "url-rules")
-    small = rules.select(F.col("tokens").alias("inner"), F.col("confidence").alias("inner_confidence"), F.explode("tokens").alias("token"))
-    wide = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token"))
-    over = wide.join(small, "token").where((F.size("inner") < F.size("tokens")) & (F.size(F.array_except("inner", "tokens")) == 0) & (F.col("inner_confidence") >= F.col("confidence")))
-    return rules.join(over.select("rule_id").distinct(), "rule_id", "left_anti")
+    rules = _pruned(stage(rules.select("rule_id", "tokens", "confidence", "pages"), "url-rules"))
+    return stage(_written_out(rules, alike), "url-rules")
 
 
-def _kinds(given: DataFrame, sets: DataFrame) -> DataFrame:
-    """(kind, items, n): the pages of ``given`` by the tokens that ``sets`` use, with their number; others fit no set."""
-    used = checked(stage(sets.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token")), "url-tokens"))
-    urls = stage(given.groupBy("items").agg(F.count("*").alias("n")), "url-counts")
-    kept = urls.select("items", "n", F.explode("items").alias("token")).join(used, "token").groupBy("items").agg(F.array_sort(F.collect_list("token")).alias("kept"), F.first("n").alias("n"))
-    return stage(kept.groupBy(F.col("kept").alias("items")).agg(F.sum("n").alias("n")).withColumn("kind", F.array_join("items", " ")), "url-kinds")
+def _kinds(given: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Labelled pages by the tokens that are frequent among blocked ones: (kind, items, n, bad), and (token, first) of tokens alike.
+
+    Tokens that the same pages have are one, named by the first: a set with two of them has a smaller one of the same pages.
+    """
+    urls = stage(given.groupBy("items").agg(F.count("*").alias("n"), F.count_if("b").alias("bad")), "url-counts")
+    spread = urls.select("items", "n", "bad", F.explode("items").alias("token"))
+    used = checked(stage(spread.groupBy("token").agg(F.sum("bad").alias("of")).where(F.col("of") >= least).select("token"), "url-tokens"))
+    kept = spread.join(used, "token").groupBy("items").agg(F.array_sort(F.collect_list("token")).alias("kept"), F.first("n").alias("n"), F.first("bad").alias("bad"))
+    full = stage(kept.groupBy("kept").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("kind", F.array_join("kept", " ")), "url-full")
+    own = full.select("kind", F.explode("kept").alias("token"))
+    where = own.groupBy("token").agg(F.count("*").alias("of"), *(F.bit_xor(F.xxhash64("kind", F.lit(i))).alias(f"d{i}") for i in (1, 2)))
+    alike = where.groupBy("of", "d1", "d2").agg(F.min("token").alias("first"), F.collect_list("token").alias("all"))
+    alike = checked(stage(alike.select("first", F.explode("all").alias("token")), "url-alike"))
+    firsts = own.join(alike, "token").groupBy("kind").agg(F.array_sort(F.collect_set("first")).alias("items"))
+    return stage(firsts.join(full.select("kind", "n", "bad"), "kind"), "url-kinds"), alike
+
+
+def _written_out(rules: DataFrame, alike: DataFrame) -> DataFrame:
+    """``rules`` with every choice of tokens that are alike to the first ones they name."""
+    groups = alike.groupBy("first").agg(F.collect_list("token").alias("all"))
+    named = rules.select("confidence", "pages", "rule_id", F.explode("tokens").alias("first")).join(groups, "first").groupBy("rule_id", "confidence", "pages").agg(F.collect_list("all").alias("choices"))
+    empty = F.array(F.array().cast("array<string>"))
+    longer = lambda done, more: F.flatten(F.transform(done, lambda d: F.transform(more, lambda t: F.array_append(d, t))))
+    written = named.select("confidence", "pages", F.explode(F.aggregate("choices", empty, longer)).alias("tokens")).withColumn("tokens", F.array_sort("tokens"))
+    return written.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "pages")
+
+
+def _pruned(rules: DataFrame) -> DataFrame:
+    """``rules`` without those that hold a smaller rule of the same or higher confidence.
+
+    Sets without one token are looked up first, by equality: every subset of a rule that is as sure is itself a rule, so what
+    this leaves out has a smaller rule among what stays. The few that stay are then met with each other through the index.
+    """
+    less = rules.where(F.size("tokens") > 1).select("rule_id", "confidence", F.explode("tokens").alias("token"), "tokens").withColumn("inner", F.array_remove("tokens", F.col("token")))
+    smaller = rules.select(F.col("tokens").alias("inner"), F.col("confidence").alias("inner_confidence"))
+    over = less.join(smaller, "inner").where(F.col("inner_confidence") >= F.col("confidence")).select("rule_id").distinct()
+    left = stage(rules.join(over, "rule_id", "left_anti"), "url-pruned")
+    pairs = fitting(left.select(F.col("rule_id").alias("outer"), "tokens"), left, "outer", "tokens").where(F.col("outer") != F.col("rule_id"))
+    sure = left.select("rule_id", "confidence")
+    met = pairs.join(sure.withColumnRenamed("confidence", "inner_confidence"), "rule_id").join(sure.select(F.col("rule_id").alias("outer"), "confidence"), "outer")
+    over = met.where(F.col("inner_confidence") >= F.col("confidence")).select(F.col("outer").alias("rule_id")).distinct()
+    return stage(left.join(over, "rule_id", "left_anti"), "url-rules")
 
 
 def inverted_index(rules: DataFrame) -> DataFrame:
@@ -159,7 +194,7 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     host, path = split_url(F.col(url))
     rule, verdict = path_rule(host, path, path_rules)
     urls = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("u")).distinct().withColumn("own", tokens_of(F.col("u")))
-    met = fitting(urls, rules, "u", "own").join(F.broadcast(rules.select("rule_id", "confidence")), "rule_id")
+    met = fitting(urls, rules, "u", "own").join(checked(rules.select("rule_id", "confidence")), "rule_id")
     best = checked(stage(met.groupBy("u").agg(F.max("confidence").alias("block_confidence")), "url-met"))
     both = pages.select(F.col(key), F.col(url).alias("__url"), host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("__rule_verdict")).join(best, F.col("__url") == F.col("u"), "left")
     mined = F.when(F.col("block_confidence").isNotNull(), "block").otherwise("allow")

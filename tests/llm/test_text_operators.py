@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -450,6 +451,24 @@ def test_every_copy_of_a_url_is_mined(spark):
     assert found[("host=often",)] == 210_000 and all(found[(f"host=bad{i}",)] == 20 for i in range(3))
 
 
+def test_long_rules_and_pruning(spark):
+    words = ["red", "blue", "tall", "thin", "soft"]
+    sets = [c for r in range(3, 6) for c in itertools.combinations(words, r)]
+    # Only all five words together are blocked: every smaller set fits many other pages.
+    rows = [(f"http://a.org/{'/'.join(c)}", len(c) == 5) for c in sets for _ in range(12)]
+    found = urls.mine(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
+    assert {frozenset(r["tokens"]) for r in found} == {frozenset(f"path={w}" for w in words)}
+
+
+def test_supersets_do_not_crowd_out_rules(spark):
+    # Each of 4 sites gives over 3,000 sets of at most 4 tokens, all of confidence 1; the last rule is less sure than they are.
+    rows = [(f"http://bad{i}.example.org/{'/'.join(f'{site}{chr(97 + j)}' for j in range(10))}", True) for i, site in enumerate("qrst") for _ in range(12)]
+    rows += [("http://mixed.example.org/", k < 8) for k in range(12)]
+    pages = spark.createDataFrame(rows, "url string, blocked boolean")
+    found = {tuple(r["tokens"]): r["confidence"] for r in urls.mine(pages).collect()}
+    assert found[("host=mixed",)] == pytest.approx(8 / 12) and found[("host=bad0",)] == 1.0
+
+
 def test_page_labels_come_from_the_pages(spark, tmp_path):
     shown = lambda html: spark.createDataFrame([(html,)], "html string").select(urls.shows_spam(F.col("html"))).first()[0]
     assert shown("<p>Best CASINO</p>") and shown("<p>" + "buy!!! now### " * 9 + "</p>") and shown("<b>again and</b> " * 30)
