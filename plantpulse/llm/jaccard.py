@@ -31,6 +31,9 @@ GROUPS = 256
 ORDER_ONE_IN, ORDER_LEAST, FREQUENT = 16, 4, 100_000
 # Points in a leaf and children of a node of the tree; blocks below this size are compared without one.
 LEAF = 16
+# Nodes of a block that one task holds, about, before the block is dealt to cells; width of a band of sizes, a little over the 1.25 of
+# linked sizes so that rounding loses none; pairs in a frame, at least, before it leaves the task.
+CHUNK, BAND, PAIRS = 4_096, 1.26, 65_536
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -246,37 +249,72 @@ class CountTree:
         return live[near_rows(self.points[live], self.sizes[live], point, size)]
 
 
+def dealt(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """``members`` with ``task`` and ``side``: blocks in ``hot`` (shingle) are dealt to cells of about ``CHUNK`` nodes, and cells to tasks by twos.
+
+    Linked sizes differ by a quarter at most, so they are in the same band of sizes or in neighbouring ones: a task is a cell alone
+    or two cells that may hold a linked pair, and each such pair of nodes meets in one task. A small block is one task, -1.
+    """
+    cool = members.join(hot, "shingle", "left_anti").withColumn("task", F.lit(-1).cast("long")).withColumn("side", F.lit(0))
+    if not hot.head(1):
+        return cool
+    banded = members.join(hot, "shingle", "left_semi").withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))))
+    chunks = checked(stage(banded.groupBy("shingle", "band").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("chunks")), "chunks"))
+    celled = banded.join(chunks, ["shingle", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")))
+    cells = chunks.select("shingle", "band", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"))
+    other = cells.select("shingle", F.col("band").alias("band_b"), F.col("chunk").alias("chunk_b"))
+    same = cells.join(other.withColumn("band", F.col("band_b")), ["shingle", "band"]).where(F.col("chunk_b") >= F.col("chunk"))
+    next_to = cells.join(other.withColumn("band", F.col("band_b") - 1), ["shingle", "band"])
+    tasks = stage(same.unionByName(next_to).withColumn("task", F.monotonically_increasing_id()), "tasks")
+    one = tasks.select("shingle", "task", "band", "chunk", F.lit(0).alias("side"))
+    two = tasks.where("band <> band_b or chunk <> chunk_b").select("shingle", "task", F.col("band_b").alias("band"), F.col("chunk_b").alias("chunk"), F.lit(1).alias("side"))
+    return cool.unionByName(celled.join(one.unionByName(two), ["shingle", "band", "chunk"]).select(*cool.columns))
+
+
 def tree_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components in a block of (shingle, node, root, n, point) whose bound allows a link."""
+    """Pairs (a, b), a < b, of different components in a task of (shingle, task, side, node, root, n, point) whose bound allows a link.
+
+    Where a task has two sides, nodes of the one are searched in the tree of the other. Pairs leave in frames of bounded size.
+    """
 
     def searched(batches):
-        for block in _runs(batches, "shingle"):
-            node, root, n = (block[c].to_numpy() for c in ("node", "root", "n"))
+        for block in _runs(batches, ["shingle", "task"]):
+            node, root, n, side = (block[c].to_numpy() for c in ("node", "root", "n", "side"))
             full = np.array([len(p) == GROUPS for p in block["point"]])
             # Without a usable point, counts of 255 everywhere bound nothing.
             points = np.stack([np.frombuffer(p, np.uint8) if ok else np.full(GROUPS, 255, np.uint8) for p, ok in zip(block["point"], full)])
-            out_a, out_b = [], []
-            tree = CountTree(points, n) if len(node) > LEAF and full.all() else None
-            for i in range(len(node)):
+            asked = np.flatnonzero(side == 0)
+            held = np.flatnonzero(side == 1) if side.any() else asked
+            own_points, own_n, own_full = points[held], n[held], full[held]
+            tree = CountTree(own_points, own_n) if len(held) > LEAF and full.all() else None
+            out_a, out_b, waiting = [], [], 0
+            for i in asked:
                 # A document with counts beyond a byte has no point: its block is compared by components only.
-                near = tree.search(points[i], int(n[i])) if tree else near_rows(points, n, points[i], int(n[i]), full & full[i])
-                near = near[(node[near] > node[i]) & (root[near] != root[i])]
-                out_a.append(np.full(len(near), node[i]))
-                out_b.append(node[near])
-            yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    return members.repartition("shingle").sortWithinPartitions("shingle").mapInPandas(searched, "a long, b long").distinct()
-
-
-def _runs(batches, column: str):
-    """Frames of equal ``column`` from sorted batches, one at a time."""
+                near = tree.search(points[i], int(n[i])) if tree else near_rows(own_points, own_n, points[i], int(n[i]), own_full & full[i])
+                near = held[near]
+                near = near[(root[near] != root[i]) & ((node[near] > node[i]) | (side[near] == 1))]
+                out_a.append(np.minimum(node[near], node[i]))
+                out_b.append(np.maximum(node[near], node[i]))
+                waiting += len(near)
+                if waiting >= PAIRS:
+                    yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+                    out_a, out_b, waiting = [], [], 0
+            if waiting:
+                yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    return members.repartition("shingle", "task").sortWithinPartitions("shingle", "task").mapInPandas(searched, "a long, b long").distinct()
+
+
+def _runs(batches, columns: list[str]):
+    """Frames of equal ``columns`` from batches sorted by them, one at a time."""
     held = []
     for batch in batches:
         if not len(batch):
             continue
-        at = np.flatnonzero(batch[column].to_numpy()[1:] != batch[column].to_numpy()[:-1]) + 1
+        own = batch[columns].to_numpy()
+        at = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
         parts = [batch.iloc[a:b] for a, b in zip([0, *at], [*at, len(batch)])]
-        if held and held[0][column].iloc[0] != parts[0][column].iloc[0]:
+        if held and tuple(held[0][columns].iloc[0]) != tuple(own[0]):
             yield pd.concat(held)
             held = []
         held.append(parts[0])
@@ -318,9 +356,10 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # Blocks of the same nodes, told by two 64-bit digests and the number of nodes, are searched once.
     alike = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in (1, 2)]
     mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), *alike).where("lo <> hi and rows > 2")
-    mixed = mixed.groupBy("rows", "d1", "d2").agg(F.min("shingle").alias("shingle")).select("shingle")
-    members = rooted.join(mixed, "shingle").join(points.select("node", "n", "point"), "node")
-    more = tree_pairs(members).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    mixed = mixed.groupBy("rows", "d1", "d2").agg(F.min("shingle").alias("shingle")).select("shingle", "rows")
+    mixed = stage(mixed, "mixed")
+    members = rooted.join(mixed.select("shingle"), "shingle").join(points.select("node", "n", "point"), "node")
+    more = tree_pairs(dealt(members, checked(mixed.where(F.col("rows") > CHUNK).select("shingle")))).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     with wide_batches(spark):
         more = stage(more, "more")
     found = verified(more, points, docs, key, text)

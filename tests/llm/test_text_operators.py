@@ -261,6 +261,24 @@ def test_components_of_near_copies_and_thresholds(spark):
     assert got == _brute_components(made)
 
 
+def test_hot_blocks_are_dealt_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    chance, common, made = random.Random(7), " ".join(f"c{i}" for i in range(40)), {}
+    for i in range(150):  # mostly shared text; every third is a near copy of the one before
+        own = made[i - 1].split()[40:] if i % 3 == 2 else [f"u{i}x{j}" for j in range(chance.randint(15, 60))]
+        made[i] = f"{common} {' '.join(own)}" + (" end" if i % 3 == 2 else "")
+    given = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(given).collect()}
+    assert got == _brute_components(made)
+    sizes = [20 + 5 * (i % 30) for i in range(300)]
+    rows = [(1 if i < 290 else 2, i, i, n, b"") for i, n in enumerate(sizes)]
+    members = spark.createDataFrame(rows, "shingle long, node long, root long, n long, point binary")
+    dealt = jaccard.dealt(members, spark.createDataFrame([(1,)], "shingle long"))
+    assert dealt.where("shingle = 1").groupBy("task").count().agg(F.max("count")).first()[0] < 100 and dealt.where("shingle = 2").count() == 10
+    want = {(i, j) for s in (range(290), range(290, 300)) for i, j in itertools.combinations(s, 2) if 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j])}
+    assert {tuple(r) for r in jaccard.tree_pairs(dealt).collect()} == want
+
+
 def test_tree_search_finds_what_the_bound_allows():
     chance = np.random.default_rng(5)
     points = np.concatenate([chance.poisson(1, (150, jaccard.GROUPS)), np.repeat(chance.poisson(1, (3, jaccard.GROUPS)), 20, axis=0)]).astype(np.uint8)
