@@ -336,9 +336,10 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     filled = all_rows.where("n > 0")
     copies = filled.groupBy("node").agg(F.min("k").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("node", "least")
     copies = checked(stage(copies, "copies"))
-    # One row speaks for each set: the only one, or the one with the least key.
-    speaks = filled.join(copies, "node", "left").where(F.col("least").isNull() | (F.col("k") == F.col("least")))
-    nodes = speaks.select("node", "k", "n", "point", "prefix")
+    # One row speaks for each set: the only one, or one with the least key, of which repeated rows give several.
+    alone = filled.join(copies.select("node"), "node", "left_anti").select("node", "k", "n", "point", "prefix")
+    first = filled.join(copies, "node").where(F.col("k").eqNullSafe(F.col("least"))).select(*alone.columns).dropDuplicates(["node"])
+    nodes = alone.unionByName(first)
 
     with wide_batches(spark):
         shared = stage(blocks(nodes), "blocks")

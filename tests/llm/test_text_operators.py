@@ -279,6 +279,15 @@ def test_hot_blocks_are_dealt_without_losing_links(spark, monkeypatch):
     assert {tuple(r) for r in jaccard.tree_pairs(dealt).collect()} == want
 
 
+def test_repeated_rows_are_one_node(spark, monkeypatch):
+    seen, blocks = [], jaccard.blocks
+    monkeypatch.setattr(jaccard, "blocks", lambda nodes: seen.append(nodes.groupBy("node").count().agg(F.max("count"), F.count("*")).first()) or blocks(nodes))
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (None, "q r s t u v"), (None, "q r s t u v"), (5, "k l m n o")]
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert tuple(seen[0]) == (1, 3)
+    assert sorted(map(str, ((r[0], r[2]) for r in got))) == sorted(map(str, [(1, 1), (1, 1), (2, 1), (None, None), (None, None), (5, 5)]))
+
+
 def test_tree_search_finds_what_the_bound_allows():
     chance = np.random.default_rng(5)
     points = np.concatenate([chance.poisson(1, (150, jaccard.GROUPS)), np.repeat(chance.poisson(1, (3, jaccard.GROUPS)), 20, axis=0)]).astype(np.uint8)
