@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, jaccard, licenses, packing, quality, token_counts, toxicity, urls
+from . import chat, decontamination, fingerprints, jaccard, licenses, packing, quality, repetition, token_counts, toxicity, urls
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,30 @@ def op10_chat_format(spark, folder):
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     read = chat.read_back(chat.format_conversations(given.unionByName(extra)))
     return read.withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op11_quality_rules(spark, folder):
+    return repetition.judge_repetition(table(spark, folder, "documents"))
+
+
+_SPACES = r"[\x20\x09-\x0D]"
+_OVER = " OR ".join(f"100 * coalesce(repeat_chars_{n}, 0) > {percent} * word_chars" for n, percent in repetition.LIMITS.items())
+SQL["op11_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+own AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d),
+lines AS (SELECT doc_id, regexp_replace(s, '{_SPACES}', '', 'g') AS bare, row_number() OVER (PARTITION BY doc_id, s ORDER BY i) AS r
+          FROM (SELECT doc_id, string_split(t, chr(10))[i] AS s, i FROM d, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS u(i))),
+line AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(bare)) AS dup_line_chars FROM lines WHERE r > 1 AND bare <> '' GROUP BY doc_id),
+windows AS (SELECT doc_id, n, i, count(*) OVER same AS c, row_number() OVER (same ORDER BY i) AS r
+            FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([{repetition.SHORT}, {', '.join(map(str, repetition.LIMITS))}]) AS n)))
+            WINDOW same AS (PARTITION BY doc_id, n, s)),
+places AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS p FROM windows WHERE c > 1 AND (r > 1 OR n = {repetition.SHORT})),
+chars AS (SELECT doc_id, {', '.join(f"sum(length(w[p])) FILTER (n = {n}) AS repeat_chars_{n}" for n in repetition.LIMITS)},
+          count(*) FILTER (n = {repetition.SHORT}) AS n_repeat_words FROM places JOIN d USING (doc_id) GROUP BY doc_id),
+every AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+          CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars, {', '.join(f"CAST(coalesce(repeat_chars_{n}, 0) AS BIGINT) AS repeat_chars_{n}" for n in repetition.LIMITS)}
+          FROM own LEFT JOIN line USING (doc_id) LEFT JOIN chars USING (doc_id)),
+judged AS (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.SHORT_LIMIT} * n_words AS base_failed FROM every)
+SELECT *, NOT base_failed AND NOT ({_OVER} OR 100 * dup_line_chars > {repetition.LINE_LIMIT} * word_chars OR 100 * n_symbols > {repetition.SYMBOL_LIMIT} * n_words) AS kept FROM judged"""
