@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, jaccard, licenses, packing, quality, repetition, token_counts, toxicity, urls
+from . import chat, decontamination, fingerprints, jaccard, lexical, licenses, packing, quality, repetition, token_counts, toxicity, urls
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,14 @@ def op11_quality_rules(spark, folder):
 
 
 _SPACES = r"[\x20\x09-\x0D]"
+_MOST = max(repetition.SHORT, *repetition.LIMITS)
+
+
+def _windows(n: int) -> str:
+    later = ", ".join(f"x{j}" for j in range(1, n))
+    return f"SELECT doc_id, {n} AS n, i, concat_ws(' ', x, {later}) AS s FROM ahead WHERE x{n - 1} IS NOT NULL"
+
+
 _OVER = " OR ".join(f"100 * coalesce(repeat_chars_{n}, 0) > {percent} * word_chars" for n, percent in repetition.LIMITS.items())
 SQL["op11_quality_rules"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -132,14 +140,34 @@ own AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum
 lines AS (SELECT doc_id, regexp_replace(s, '{_SPACES}', '', 'g') AS bare, row_number() OVER (PARTITION BY doc_id, s ORDER BY i) AS r
           FROM (SELECT doc_id, string_split(t, chr(10))[i] AS s, i FROM d, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS u(i))),
 line AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(bare)) AS dup_line_chars FROM lines WHERE r > 1 AND bare <> '' GROUP BY doc_id),
+words AS (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+ahead AS (SELECT doc_id, i, x, {', '.join(f"lead(x, {j}) OVER o AS x{j}" for j in range(1, _MOST))} FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 windows AS (SELECT doc_id, n, i, count(*) OVER same AS c, row_number() OVER (same ORDER BY i) AS r
-            FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([{repetition.SHORT}, {', '.join(map(str, repetition.LIMITS))}]) AS n)))
-            WINDOW same AS (PARTITION BY doc_id, n, s)),
-places AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS p FROM windows WHERE c > 1 AND (r > 1 OR n = {repetition.SHORT})),
-chars AS (SELECT doc_id, {', '.join(f"sum(length(w[p])) FILTER (n = {n}) AS repeat_chars_{n}" for n in repetition.LIMITS)},
-          count(*) FILTER (n = {repetition.SHORT}) AS n_repeat_words FROM places JOIN d USING (doc_id) GROUP BY doc_id),
+            FROM ({' UNION ALL '.join(_windows(n) for n in (repetition.SHORT, *repetition.LIMITS))}) WINDOW same AS (PARTITION BY doc_id, n, s)),
+places AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS i FROM windows WHERE c > 1 AND (r > 1 OR n = {repetition.SHORT})),
+chars AS (SELECT doc_id, {', '.join(f"sum(length(x)) FILTER (n = {n}) AS repeat_chars_{n}" for n in repetition.LIMITS)},
+          count(*) FILTER (n = {repetition.SHORT}) AS n_repeat_words FROM places JOIN words USING (doc_id, i) GROUP BY doc_id),
 every AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
           CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars, {', '.join(f"CAST(coalesce(repeat_chars_{n}, 0) AS BIGINT) AS repeat_chars_{n}" for n in repetition.LIMITS)}
           FROM own LEFT JOIN line USING (doc_id) LEFT JOIN chars USING (doc_id)),
 judged AS (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.SHORT_LIMIT} * n_words AS base_failed FROM every)
 SELECT *, NOT base_failed AND NOT ({_OVER} OR 100 * dup_line_chars > {repetition.LINE_LIMIT} * word_chars OR 100 * n_symbols > {repetition.SYMBOL_LIMIT} * n_words) AS kept FROM judged"""
+
+
+@query
+def op12_ranked_search(spark, folder):
+    return lexical.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op12_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+total AS (SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+m AS (SELECT doc_id, 75 + (25 * len(t) * n) // l AS m FROM d, total),
+asked AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+scored AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+           FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20"""
