@@ -301,8 +301,10 @@ def rank_documents(docs: DataFrame, items: DataFrame, top: int = 20, key: str =
 def _block(docs: DataFrame, asked: DataFrame, top: int, key: str, text: str) -> DataFrame:
     """``rank_documents`` for the items of one block."""
     spark = docs.sparkSession
-    pairs = asked.select("id", F.encode("term", "UTF-8").alias("term"), "count").toPandas()  # at most about BLOCK_TERMS rows
-    words = sorted({bytes(t) for t in pairs["term"]})
+    pairs = asked.toArrow()  # at most about BLOCK_TERMS rows
+    asking, terms, counts = (pairs.column(c).to_pylist() for c in ("id", "term", "count"))
+    terms = [t.encode("utf-8") for t in terms]
+    words = sorted(set(terms))
     vocabulary = {t: i for i, t in enumerate(words)}
     found = stage(vectors(docs, vocabulary, key, text), "vectors")
     documents, length, filled = found.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.size("terms") > 0)).first()
@@ -313,19 +315,17 @@ def _block(docs: DataFrame, asked: DataFrame, top: int, key: str, text: str) ->
     number = np.empty(len(words), np.int64)
     number[np.argsort(-held, kind="stable")] = np.arange(len(words))
 
-    pairs["at"] = [vocabulary[bytes(t)] for t in pairs["term"]]
-    pairs = pairs[held[pairs["at"].to_numpy(np.int64)] > 0] if len(pairs) else pairs
-    ids = list(dict.fromkeys(None if v != v else v for v in pairs["id"]))
+    ids = list(dict.fromkeys(asking))
     kind = asked.schema["id"].dataType.simpleString()
-    named = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], f"item int, id {kind}")
-    if not ids or not filled:
+    named = spark.createDataFrame(list(enumerate(ids)), f"item int, id {kind}")
+    if not filled:
         return named.join(spark.createDataFrame([], f"item int, k {found.schema['k'].dataType.simpleString()}, score long, rank int"), "item")
-    of = {v: i for i, v in enumerate(ids)}
-    row = np.array([of[None if v != v else v] for v in pairs["id"]])
+    row_of, at, counts = {v: i for i, v in enumerate(ids)}, np.array([vocabulary[t] for t in terms]), np.array(counts, np.int64)
+    row = np.array([row_of[v] for v in asking])
     order = np.argsort(row, kind="stable")
-    at = pairs["at"].to_numpy(np.int64)[order]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ids)))])
-    given = Items(starts, number[at], weight[at] * pairs["count"].to_numpy(np.int64)[order])
+    at, counts = at[order], counts[order]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(row))])
+    given = Items(starts, number[at], weight[at] * counts)
 
     least = np.zeros(len(ids), np.int64)
     if filled > 2 * FIRST_DOCS:

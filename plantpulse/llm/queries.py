@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, jaccard, lexical, licenses, packing, quality, repetition, token_counts, toxicity, urls
+from . import chat, decontamination, fingerprints, jaccard, lexical, licenses, packing, quality, repetition, spelling, token_counts, toxicity, urls
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,32 @@ scored AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000
            FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
 ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
 SELECT * FROM ranked WHERE rank <= 20"""
+
+
+@query
+def op13_spelling_variants(spark, folder):
+    return spelling.group_variants(table(spark, folder, "documents"))
+
+
+# DuckDB has no crc32: it is folded over the bytes of a text, by a table made from the polynomial.
+SQL["op13_spelling_variants"] = r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) AS r(i))),
+runs AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents WHERE text IS NOT NULL) WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (SELECT doc_id, run, times, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+          lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + ord(c)::BIGINT // 64, 128 + ord(c)::BIGINT % 64] END)) AS b FROM runs),
+hashed AS (SELECT run, times, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS h FROM bytes, crc),
+counted AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT times, CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+cut AS MATERIALIZED (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM counted)),
+near AS (SELECT DISTINCT * FROM (
+         SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (rest, i) WHERE a.word <> b.word
+         UNION ALL SELECT a.rest, a.word, a.n FROM cut a JOIN counted c ON c.word = a.rest
+         UNION ALL SELECT a.word, a.rest, c.n FROM cut a JOIN counted c ON c.word = a.rest)),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -other_n, w := other)) AS b FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT counted.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 5 * n THEN b.w END AS form, CASE WHEN -b.m >= 5 * n THEN CAST(-b.m AS BIGINT) END AS form_n
+           FROM counted LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM formed UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NOT NULL),
+last AS (SELECT walk.word, root FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN last USING (word)"""

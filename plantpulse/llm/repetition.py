@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,14 +130,13 @@ def judge_repetition(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     def measured(batches):
         words = Words()
         for batch in batches:
-            rows = [measures(t, words, limits) for t in batch["t"]]
-            own = pd.DataFrame(rows, columns=names, dtype="int64")
-            own.insert(0, "k", batch["k"].to_numpy())
-            yield own
+            rows = [measures(t, words, limits) for t in batch.column(1).to_pylist()]
+            counts = [pa.array([r[n] for r in rows], pa.int64()) for n in names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts], names=["k", *names])
 
     given = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
     kind = given.schema["k"].dataType.simpleString()
-    counts = given.mapInPandas(measured, ", ".join([f"k {kind}", *(f"{n} long" for n in names)]))
+    counts = given.mapInArrow(measured, ", ".join([f"k {kind}", *(f"{n} long" for n in names)]))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > SHORT_LIMIT * F.col("n_words"))
     over = (100 * F.col("dup_line_chars") > line_limit * F.col("word_chars")) | (100 * F.col("n_symbols") > symbol_limit * F.col("n_words"))
     for n, percent in limits.items():
