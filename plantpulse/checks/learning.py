@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..columns import CSV_OPTIONS, FAILURE, STATUSES, WARNING
-from ..operators import features, hierarchy, model, splits
-from ..plans import layer
+from ..operators import batches, features, hierarchy, model, splits
+from ..plans import layer, saved
 from ..plans.spec import LayerSpec
 from ..storage import new_folder, stage
-from .base import DAY, READINGS, READINGS_WIDE, RUN_FILES, WIDE_SENSORS, events, floor_sql, num, readings, readings_wide, registry, text
-from .ordering import rule_models
+from ..streaming import flows
+from .base import DAY, HOUR, READINGS, READINGS_WIDE, RUN_FILES, WIDE_SENSORS, events, floor_sql, num, patchy, readings, readings_wide, registry, text
+from .ordering import VALID_SQL, rule_models
 from .partitions import quota_split_sql
 
 CHECKS, check = registry()
@@ -137,6 +138,38 @@ def train_predict_boosted(spark, folder):
     return _facts(fitted.predict(splits.part(table, "test"), "label", "p"), fitted.classes)
 
 
+_EARLY_SQL = f"""WITH chosen AS ({quota_split_sql("windows", _WINDOWS, "run_id", "health_status", "row_key", ", win")}),
+    train AS (SELECT run_id FROM chosen WHERE split = 'train'),
+    runs AS (SELECT run_id, row_number() OVER (ORDER BY run_id DESC) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT run_id FROM train)),
+    held AS (SELECT count(*) AS n FROM train JOIN runs USING (run_id) WHERE place <= greatest(1, CAST(floor(runs.n * 0.2) AS BIGINT)))
+    SELECT unnest(['Failure', 'Normal', 'Warning']) AS class, n AS validation_rows, true AS cut, true AS least, true AS together FROM held"""
+
+
+@check("boosted_early_stopping", _EARLY_SQL)
+def boosted_early_stopping(spark, folder):
+    """Boosting cut by patience on whole held-out runs: per class, what must hold of the rounds whatever the trees are.
+
+    The kept rounds are those of the least joint loss before patience ended, and the same for every class.
+    """
+    table = splits.part(_training_table(spark, folder), "train")
+    rows = splits.split_whole_runs(table)
+    held, trees, patience = stage(splits.part(rows, "test"), "held"), 8, 3
+    fitted = model.train(splits.part(rows, "train"), kind="boosted", trees=trees, depth=3, rate=0.5, validation=held, patience=patience)
+    # The rounds are a property of the model: a few numbers per class.
+    joint = {}
+    for _, number, loss in fitted.history:
+        joint[number] = joint.get(number, 0.0) + loss
+    facts = []
+    for c, rounds in fitted.rounds.items():
+        before = [loss for number, loss in joint.items() if number < rounds]
+        after = [loss for number, loss in joint.items() if rounds < number <= rounds + patience]
+        least = joint[rounds] < min(before, default=joint[rounds] + 1) and joint[rounds] <= min(after, default=joint[rounds])
+        own = {number for name, number, _ in fitted.history if name == c}
+        facts.append((c, 1 <= rounds <= trees and own == set(range(1, trees + 1)), least, len(set(fitted.rounds.values())) == 1))
+    rows = F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("class", "cut", "least", "together"), f)]) for f in facts]))
+    return held.agg(F.count("*").alias("validation_rows")).select("validation_rows", rows)
+
+
 @check(
     "train_evaluate",
     f"""{_TEST_WINDOWS}
@@ -218,3 +251,65 @@ def run_layer_failure_type(spark, folder):
     _write_run_files(spark, folder, base)
     condition = {"column": "health_status", "operator": "==", "value": "Failure"}
     return layer.run_layer(spark, _layer_spec(base, "failure_type", condition, ("failure",)))[2]
+
+
+def _stored_layers(spark, table, status, low: str, high: str) -> list[str]:
+    """Three small layers trained on a feature table, each saved: the status, and types by a rule on a feature."""
+    names = features.sensor_columns(table, "timestamp", status, ("run_id", "batch"))
+    kinds = {"warning_type": ("power_increase", "voltage_drop"), "failure_type": ("cavitation", "bearing_fault")}
+    table = table.withColumns({c: F.when(F.col(low) > F.lit(high), a).otherwise(b) for c, (a, b) in kinds.items()})
+    paths = []
+    for target in (status, *kinds):
+        paths.append(new_folder(spark, f"layer-{target}"))
+        model.train(table, target, features=names, trees=4, depth=4).save(paths[-1], spark)
+    return paths
+
+
+def _scored_runs(spark, folder, absent: bool):
+    """Every run file windowed and scored by layers that were stored before; with ``absent``, one was never stored."""
+    base = new_folder(spark, "runs")
+    _write_run_files(spark, folder, base)
+    paths = [f"{base}/files/file={name}" for name in RUN_FILES]
+    table = features.extract_features(readings(spark, folder).select("run_id", "timestamp", F.col("sensor_value").alias("bearing_temp_c"), F.sqrt("sensor_value").alias("flow_rate_m3_h"), "health_status"), "12H")
+    stored = _stored_layers(spark, stage(table, "features"), "health_status", "bearing_temp_c_mean", 50.0)
+    layers = saved.SavedLayers.load(spark, *stored[:2], f"{base}/never-stored" if absent else stored[2])
+    return saved.score_files(spark, layers, paths, window="12H")
+
+
+_RUN_WINDOWS = f"SELECT DISTINCT {text(floor_sql('ts', 12 * HOUR))} AS timestamp, event_id % {len(RUN_FILES)} + 1 AS run_id FROM events"
+
+
+@check("score_saved_layers", f"SELECT timestamp, run_id, true AS known, true AS typed, true AS sure FROM ({_RUN_WINDOWS})")
+def score_saved_layers(spark, folder):
+    """Verdicts of all run files by three stored layers: a type is given exactly where the status asks for one."""
+    scored = _scored_runs(spark, folder, absent=False)
+    status = F.col("health_status")
+    typed = (F.col("warning_type").isNotNull() == (status == WARNING)) & (F.col("failure_type").isNotNull() == (status == FAILURE))
+    return scored.select("timestamp", "run_id", status.isin(*STATUSES).alias("known"), typed.alias("typed"), F.col("health_confidence").between(1 / 3 - 1e-9, 1).alias("sure"))
+
+
+@check("score_saved_layers_partial", f"SELECT timestamp, run_id, true AS known, NULL AS failure_type FROM ({_RUN_WINDOWS})")
+def score_saved_layers_partial(spark, folder):
+    """The same with the failure layer absent: its type is null everywhere, the rest is scored."""
+    scored = _scored_runs(spark, folder, absent=True)
+    warned = F.col("warning_type").isNotNull() == (F.col("health_status") == WARNING)
+    return scored.select("timestamp", "run_id", (F.col("health_status").isin(*STATUSES) & warned).alias("known"), "failure_type")
+
+
+@check("stream_saved_layers", f"{VALID_SQL} SELECT event_id, run_id, ruling_batch IS NULL AS waiting, true AS agrees FROM batched")
+def stream_saved_layers(spark, folder):
+    """A stream scored in fives by stored layers: rows before the first five wait, the others agree with the batch form."""
+    given = patchy(spark, folder)
+    batched = stage(batches.with_batches(given, "event_id"), "batches")
+    table = stage(batches.batch_features(batched, exclude=("event_id",)), "features")
+    rule = F.when(F.col("sensor_value_max") > 100, "Failure").when(F.col("sensor_value_max") > 60, "Warning").otherwise("Normal")
+    layers = saved.SavedLayers.load(spark, *_stored_layers(spark, table.withColumn("health_status", rule), "health_status", "sensor_value_min", 50.0))
+    source, out, progress = (new_folder(spark, label) for label in ("replay", "stream", "progress"))
+    given.write.parquet(source)
+    query = flows.write_batches(saved.stream_verdicts(flows.replay(spark, source, given.schema), layers, key="event_id"), out, progress)
+    query.awaitTermination()
+    live = spark.read.parquet(out).select("event_id", "run_id", "health_status", "fault_type")
+    expected = batches.with_carried_status(batched, layers.score(table)).select("event_id", F.col("health_status").alias("_s"), F.col("fault_type").alias("_f"))
+    rulings = batched.select("event_id", F.col("ruling_batch").isNull().alias("waiting"))
+    agrees = F.col("health_status").eqNullSafe(F.col("_s")) & F.col("fault_type").eqNullSafe(F.col("_f"))
+    return live.join(expected, "event_id").join(rulings, "event_id").select("event_id", "run_id", "waiting", agrees.alias("agrees"))

@@ -71,7 +71,7 @@ def fill_window(spark, folder):
     return filled.select("event_id", "run_id", "win", "position")
 
 
-_VALID = f"""WITH {PATCHY},
+VALID_SQL = f"""WITH {PATCHY},
     counted AS (SELECT *, timestamp IS NOT NULL AND sensor_value IS NOT NULL AND health_status IS NOT NULL
                           AND regexp_matches(note, '[^\\s]') AS valid FROM patchy),
     ranked AS (SELECT *, sum(valid::INT) OVER (PARTITION BY run_id ORDER BY timestamp NULLS FIRST, event_id
@@ -80,13 +80,13 @@ _VALID = f"""WITH {PATCHY},
                        CASE WHEN upto >= 5 THEN CAST(upto // 5 - 1 AS BIGINT) END AS ruling_batch FROM ranked)"""
 
 
-@check("count_window_5", f"{_VALID} SELECT event_id, run_id, batch, ruling_batch FROM batched")
+@check("count_window_5", f"{VALID_SQL} SELECT event_id, run_id, batch, ruling_batch FROM batched")
 def count_window_5(spark, folder):
     return batches.with_batches(patchy(spark, folder), "event_id").select("event_id", "run_id", "batch", "ruling_batch")
 
 
 # Each full batch is scored on the rows in its first ten-minute window.
-_SCORED = f"""{_VALID},
+_SCORED = f"""{VALID_SQL},
     windows AS (SELECT *, {floor_sql('timestamp', 10 * MINUTE)} AS win FROM batched WHERE valid),
     starts AS (SELECT run_id, batch, min(win) AS win FROM windows GROUP BY 1, 2 HAVING count(*) = 5),
     scores AS (SELECT w.run_id, w.batch, w.win, max(sensor_value) AS top, min(sensor_value) AS low, count(*) AS members

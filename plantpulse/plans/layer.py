@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..columns import FAILURE_TYPE, RUN, STATUS, TIMESTAMP, WARNING_TYPE
+from ..columns import CSV_OPTIONS, FAILURE_TYPE, RUN, STATUS, TIMESTAMP, WARNING_TYPE
 from ..operators import features as feature_ops
 from ..operators import filters, model, quality, splits
 from ..operators.ordering import seeded_shuffle
@@ -101,11 +101,17 @@ def train_layer(split: DataFrame, spec: LayerSpec, kind: str = "forest") -> mode
         class_weights=given.get("scale_pos_weight"),
         classes=spec.classes,
         validation=validation,
+        patience=given.get("early_stopping_rounds") if validation is not None else None,
+        metric=given.get("eval_metric") or model.JOINT_LOSS,
     )
 
 
 def run_layer(spark: SparkSession, spec: LayerSpec, kind: str = "forest") -> tuple[model.Classifier, DataFrame, DataFrame]:
-    """Preprocess, export, train, evaluate and save a layer: (model, metrics, report)."""
+    """Preprocess, export, train, evaluate and save a layer: (model, metrics, report).
+
+    The validation losses of boosting lie beside the metrics; where the layer names a place for predictions, those of its
+    test part are written there.
+    """
     split, quality_report = preprocess(spark, spec)
     quality_report.write.mode("overwrite").json(f"{spec.metrics_path}/validation")
     folder = f"{spec.output_dir}/{spec.name}"
@@ -113,14 +119,20 @@ def run_layer(spark: SparkSession, spec: LayerSpec, kind: str = "forest") -> tup
     exported = spark.read.parquet(folder)
     fitted = train_layer(exported, spec, kind)
     fitted.save(spec.model_path, spark)
-    metrics, report = model.evaluate_classifier(fitted, splits.part(exported, splits.TEST), spec.target)
+    test = splits.part(exported, splits.TEST)
+    metrics, report = model.evaluate_classifier(fitted, test, spec.target)
     write_metrics(metrics, report, spec.metrics_path)
+    if fitted.history:
+        fitted.history_table(spark).write.mode("overwrite").json(f"{spec.metrics_path}/rounds")
+    if spec.predictions_path:
+        predicted = fitted.predict_table(test, [RUN, spec.time])
+        predicted.write.mode("overwrite").options(**CSV_OPTIONS).csv(spec.predictions_path)
     return fitted, metrics, report
 
 
 def predict_readings(fitted: model.Classifier, readings: DataFrame, window: str = "10min", exclude=(RUN,)) -> DataFrame:
     """Features of raw readings, then predictions with probabilities per window."""
-    table = feature_ops.extract_features(readings, window, exclude=exclude)
+    table = feature_ops.extract_features(readings.drop(STATUS), window, exclude=exclude)
     return fitted.predict_table(table, [TIMESTAMP, *([RUN] if RUN in table.columns else [])])
 
 
