@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators import splits
-from .base import HOUR, PATCHY, READINGS, floor_sql, patchy, readings, registry, text
+from ..operators import folds, splits
+from .base import HOUR, PATCHY, READINGS, READINGS_WIDE, floor_sql, num, patchy, readings, readings_wide, registry, text
 
 CHECKS, check = registry()
 
@@ -48,6 +48,15 @@ def split_stratified(spark, folder):
     return splits.split_stratified(readings(spark, folder), "event_id").select(*_SHOWN)
 
 
+@check(
+    "split_by_hash",
+    f"""WITH {READINGS} SELECT event_id, run_id, health_status,
+        CASE WHEN md5('42|' || CAST(event_id AS VARCHAR))[1:8] < '{int(0.2 * 2**32):08x}' THEN 'test' ELSE 'train' END AS split FROM readings""",
+)
+def split_by_hash(spark, folder):
+    return splits.split_by_hash(readings(spark, folder), "event_id").select(*_SHOWN)
+
+
 _WHOLE_RUNS = f"""WITH {READINGS},
     runs AS (SELECT run_id, row_number() OVER (ORDER BY run_id DESC) AS place, count(*) OVER () AS n
              FROM (SELECT DISTINCT run_id FROM readings)),
@@ -117,3 +126,35 @@ def leakage_runs(spark, folder):
 )
 def loro_folds(spark, folder):
     return splits.run_folds(readings(spark, folder))
+
+
+_FOLD_SENSORS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _fold_sql() -> str:
+    """Nearest centroid of the classes of all other runs, scaled by their variance, written out per fold."""
+    total = ", ".join(f"sum({s}) AS s{i}, sum({s} * {s}) AS q{i}" for i, s in enumerate(_FOLD_SENSORS))
+    rest = ", ".join(f"t.s{i} - coalesce(o.s{i}, 0) AS s{i}, t.q{i} - coalesce(o.q{i}, 0) AS q{i}" for i in range(4))
+    scale = ", ".join(f"sum(q{i}) / sum(n) - (sum(s{i}) / sum(n)) ** 2 AS v{i}" for i in range(4))
+    distance = " + ".join(f"(r.{s} - m.s{i} / m.n) ** 2 / v.v{i}" for i, s in enumerate(_FOLD_SENSORS))
+    return f"""WITH {READINGS_WIDE},
+    w AS (SELECT *, row_number() OVER () AS id FROM readings_wide),
+    own AS (SELECT run_id, health_status, count(*) AS n, {total} FROM w GROUP BY 1, 2),
+    every AS (SELECT health_status, count(*) AS n, {total} FROM w GROUP BY 1),
+    fold AS (SELECT r.run_id, t.health_status, t.n - coalesce(o.n, 0) AS n, {rest} FROM (SELECT DISTINCT run_id FROM w) r, every t
+             LEFT JOIN own o ON o.run_id = r.run_id AND o.health_status = t.health_status),
+    v AS (SELECT run_id, {scale} FROM fold GROUP BY 1),
+    said AS (SELECT r.id, r.run_id, r.health_status, min(struct_pack(d := {distance}, c := m.health_status)).c AS prediction
+             FROM w r JOIN fold m USING (run_id) JOIN v USING (run_id) WHERE m.n > 0 GROUP BY 1, 2, 3),
+    sides AS (SELECT run_id, health_status AS class, 1 AS support, 0 AS predicted, CAST(health_status = prediction AS INT) AS hits FROM said
+              UNION ALL SELECT run_id, prediction, 0, 1, 0 FROM said),
+    sums AS (SELECT run_id, class, CAST(sum(support) AS BIGINT) AS support, CAST(sum(predicted) AS BIGINT) AS predicted, CAST(sum(hits) AS BIGINT) AS hits FROM sides GROUP BY 1, 2)
+    SELECT *, {num('CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END')} AS precision, {num('CASE WHEN support > 0 THEN hits / support ELSE 0 END')} AS recall,
+           {num('2 * hits / (predicted + support)')} AS f1_score FROM sums"""
+
+
+@check("loro_metrics", _fold_sql())
+def loro_metrics(spark, folder):
+    """Leave-one-run-out of all runs in one pass: per fold and class, what the nearest centroid of the other runs gets right."""
+    rows = readings_wide(spark, folder).drop("timestamp")
+    return folds.fold_report(folds.centroid_folds(rows, _FOLD_SENSORS))

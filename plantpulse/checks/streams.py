@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..columns import STATUSES
+from ..operators import sessions
 from ..storage import new_folder
 from ..streaming import flows, scoring
 from .aggregates import features_sql
-from .base import DAY, READINGS, events, num, patchy, readings, registry, text
+from .base import DAY, HOUR, READINGS, events, num, patchy, readings, registry, text
 from .cleaning import _POINT_SQL, point_entries
 from .ordering import CARRIED_SQL, rule_score
 
@@ -24,12 +25,18 @@ def _replayed(spark, table):
 
 def _in_batches(spark, table, time: str, batches: int = 3, files: int = 4):
     """A batch table as a stream of several micro-batches that follow each other in time."""
-    path, micros = new_folder(spark, "replay"), F.unix_micros(time)
+    micros = F.unix_micros(time)
     cuts = table.select(F.percentile_approx(micros, [i / batches for i in range(1, batches)])).first()[0]
     block = sum((F.coalesce(micros > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
-    for i in range(batches):  # one after the other: a stream takes the oldest files first
-        table.where(block == i).repartition(files).write.mode("append").parquet(path)
-    return flows.replay(spark, path, table.schema, files_per_trigger=files)
+    return _delivered(spark, [table.where(block == i) for i in range(batches)], files)
+
+
+def _delivered(spark, parts, files: int = 4):
+    """Tables as the micro-batches of a stream, written one after the other: a stream takes the oldest files first."""
+    path = new_folder(spark, "replay")
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(path)
+    return flows.replay(spark, path, parts[0].schema, files_per_trigger=files)
 
 
 def _finish(spark, query, path: str):
@@ -104,3 +111,63 @@ def stream_scored_points(spark, folder):
     stream = _in_batches(spark, patchy(spark, folder), "timestamp")
     query = scoring.write_scored_points(stream, "event_id", "plant", path, progress, rule_score)
     return point_entries(_finish(spark, query, path))
+
+
+def sessions_sql(gap: int, number: str = "") -> str:
+    """Sessions of ``readings`` by a gap in microseconds: a row begins one where the row before is further away."""
+    return f"""paused AS (SELECT *, coalesce(epoch_us(timestamp) - epoch_us(lag(timestamp) OVER own) > {gap}, true) AS begins
+                FROM readings WINDOW own AS (PARTITION BY run_id ORDER BY timestamp, event_id)),
+    numbered AS (SELECT *, CAST(sum(begins::INT) OVER (PARTITION BY run_id ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM paused)
+    SELECT run_id, {number} {text('min(timestamp)')} AS session_start, {text('max(timestamp)')} AS session_end, count(*) AS rows,
+           {num('min(sensor_value)')} AS sensor_value_min, {num('max(sensor_value)')} AS sensor_value_max, {num('avg(sensor_value)')} AS sensor_value_mean
+    FROM numbered GROUP BY run_id, session"""
+
+
+@check("sessions", f"WITH {READINGS}, {sessions_sql(4 * HOUR, 'session,')}")
+def batch_sessions(spark, folder):
+    return sessions.sessions(readings(spark, folder).drop("event_id"), "4H")
+
+
+_DEAL = f"""WITH {READINGS}, span AS (SELECT min(epoch_us(timestamp)) AS low, max(epoch_us(timestamp)) AS high FROM readings),
+    placed AS (SELECT event_id, run_id, epoch_us(timestamp) AS t, (epoch_us(timestamp) - low) * 3 // (high - low + 1) AS block FROM readings, span),
+    dealt AS (SELECT *, block = 0 AND event_id % 20 = 3 AS delayed FROM placed),
+    late AS (SELECT max(t) // 1000 * 1000 - {HOUR} AS mark FROM dealt WHERE block = 0 AND NOT delayed)"""
+_LATE_SQL = f"""{_DEAL}
+    SELECT 'reading' AS kind, event_id, 1 AS n FROM dealt, late WHERE NOT (delayed AND t <= mark)
+    UNION ALL SELECT 'late', NULL, count(*) FROM dealt, late WHERE delayed AND t <= mark"""
+
+
+@check("stream_late_readings", _LATE_SQL)
+def stream_late_readings(spark, folder):
+    """Three micro-batches with repeated and late readings: what is kept, once each, and how many came too late.
+
+    One reading in ten is sent again, in the next micro-batch too; one in twenty of the first third arrives with the last.
+    """
+    table = readings(spark, folder)
+    low, high = table.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    block = F.expr(f"(unix_micros(timestamp) - {low}) * 3 div ({high} - {low} + 1)")
+    delayed = (block == 0) & (F.col("event_id") % 20 == 3)
+    again = F.col("event_id") % 10 == 1
+    parts = []
+    for i in range(3):
+        own, sent = table.where((block == i) & ~delayed), table.where((block == i - 1) & again)
+        parts.append(own.unionByName(own.where(again)).unionByName(sent))
+    parts[2] = parts[2].unionByName(table.where(delayed))
+    path, progress = _outputs(spark)
+    query = flows.write_batches(flows.unique_readings(_delivered(spark, parts), ["event_id"], delay="1h"), path, progress)
+    kept = _finish(spark, query, path).select(F.lit("reading").alias("kind"), "event_id", F.lit(1).cast("bigint").alias("n"))
+    return kept.unionByName(spark.createDataFrame([("late", None, flows.late_rows(query))], "kind string, event_id bigint, n bigint"))
+
+
+@check("stream_sessions", f"WITH {READINGS}, {sessions_sql(4 * HOUR)}")
+def stream_sessions(spark, folder):
+    """Sessions of a stream over three micro-batches; a reading far ahead in a run of its own closes them all."""
+    table = readings(spark, folder).drop("event_id")
+    ahead = table.agg((F.max("timestamp") + F.expr("interval 30 days")).alias("timestamp"))
+    last = ahead.select(F.lit(-1).cast("bigint").alias("run_id"), "timestamp", F.lit(0.0).alias("sensor_value"), F.lit("Normal").alias("health_status"))
+    low, high = table.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    block = F.expr(f"(unix_micros(timestamp) - {low}) * 3 div ({high} - {low} + 1)")
+    path, progress = _outputs(spark)
+    stream = _delivered(spark, [*[table.where(block == i) for i in range(3)], last])
+    found = _finish(spark, flows.write_batches(sessions.stream_sessions(stream, "4H", "1h"), path, progress), path)
+    return found.where("run_id >= 0").drop("batch")

@@ -132,6 +132,20 @@ def split_stratified(
     return _take_first_by_digest(df, [], stratum, test_size, key, seed, limit)
 
 
+def split_by_hash(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
+    """Send a row to test where the first 32 bits of its key's seeded digest lie below ``test_size``.
+
+    The share is met on average only, but a row's side depends on nothing but its own key: it stays when rows are added,
+    needs no count, and works on a stream. Rows with a null key all go to one side.
+    """
+    _check_fraction(test_size)
+    require_columns(df, key)
+    # Hexadecimal digits of one length sort like the numbers they write.
+    below = f"{int(test_size * 2**32):08x}"
+    digest = seeded_digest(key, seed)
+    return df.withColumn(SPLIT, _label(F.substring(digest, 1, 8) < F.lit(below)))
+
+
 def split_whole_runs(df: DataFrame, test_size: float = 0.2, run: str = RUN) -> DataFrame:
     """The last max(1, int(runs * test_size)) run ids are test, so no run is on both sides."""
     require_columns(df, run)

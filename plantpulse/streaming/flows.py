@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,24 @@ def stream_features(
     return features.select(F.col("_window.start").alias(time), *[c for c in features.columns if c != "_window"])
 
 
+def unique_readings(df: DataFrame, keys: Sequence[str], time: str = TIMESTAMP, delay: str = "10min") -> DataFrame:
+    """A stream without repeats: of readings with equal ``keys`` that arrive within ``delay`` of each other, the first.
+
+    State is one row per key and leaves when the watermark passes its time, so it does not grow with the stream. A reading more
+    than ``delay`` behind the watermark is late: Spark drops it and counts it (:func:`late_rows`).
+    """
+    return df.withWatermark(time, frequency_interval(delay)).dropDuplicatesWithinWatermark(list(keys))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that stateful operators dropped as late, over the progress reports that Spark holds.
+
+    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` reports; read it from time to time on a long query.
+    """
+    reports = [json.loads(p.json) if hasattr(p, "json") and not isinstance(p, dict) else p for p in query.recentProgress]
+    return sum(state.get("numRowsDroppedByWatermark", 0) for report in reports for state in report["stateOperators"])
+
+
 def write_batches(df: DataFrame, folder: str, checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:
     """Write each micro-batch into its own sub-folder, so a repeated batch replaces itself.
 
