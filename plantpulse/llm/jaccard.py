@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,10 @@ LEAF = 16
 CHUNK, BAND, PAIRS = 4_096, 1.26, 65_536
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+# The count that stands for all that do not fit a byte; block numbers that a node carries with it.
+_OPEN, _CARRIED = 255, 64
+# Rounds in which every block that still holds several components tries them with another of its nodes.
+STARS = 2
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -82,9 +87,21 @@ def needed_overlap(n, m, num: int = NUMERATOR, den: int = DENOMINATOR):
 
 
 def point_of(shingles: np.ndarray) -> bytes:
-    """Counts per group as bytes; empty if one does not fit a byte, which switches the bound off for this document."""
+    """Counts per group as bytes. A count beyond their range stands as the largest, which bounds nothing where both have it."""
     counts = np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    return np.minimum(counts, _OPEN).astype(np.uint8).tobytes()
+
+
+def _points(column) -> np.ndarray:
+    """Points as rows of counts; one that is empty bounds nothing."""
+    return np.frombuffer(b"".join(p or bytes([_OPEN]) * GROUPS for p in column), np.uint8).reshape(-1, GROUPS)
+
+
+def shared_counts(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sum of the smaller counts along the last axis: the most that two sets can share; beyond all bounds where a count is open."""
+    least = np.minimum(p, q)
+    most = least.sum(axis=-1, dtype=np.int64)
+    return np.where((least == _OPEN).any(axis=-1), np.iinfo(np.int64).max, most)
 
 
 def frequent_shingles(docs: DataFrame, text: str) -> np.ndarray:
@@ -102,7 +119,8 @@ def frequent_shingles(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, node, point, prefix) per row: ``node`` names the set by a digest, ``prefix`` are its first shingles in the common order."""
+    """(key, digest, n, node, point, prefix) per row: ``digest`` tells the text, ``node`` names the set,
+    ``prefix`` are its first shingles in the common order."""
     bounded_batches(docs.sparkSession)
     last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text))
 
@@ -112,7 +130,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
         own, frequent = Shingler(), last.value
         for batch in batches:
             n, node, point, prefix = [], [], [], []
-            for t in batch["t"]:
+            for t in batch.column("t").to_pylist():
                 s = own.set_of(t)
                 n.append(len(s))
                 node.append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64) if len(s) else 0)
@@ -123,10 +141,11 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     late = frequent[at] == s
                     s = np.concatenate([s[~late], s[late]])
                 prefix.append(s[:take].view(np.int64))
-            yield pd.DataFrame({"k": batch["k"], "n": n, "node": node, "point": point, "prefix": prefix})
+            made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(point, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("digest"), *made], names=["k", "digest", "n", "node", "point", "prefix"])
 
-    given = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    return given.mapInPandas(signed, f"k {given.schema['k'].dataType.simpleString()}, n long, node long, point binary, prefix array<long>")
+    given = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"), _digest(text).alias("digest"))
+    return given.mapInArrow(signed, f"k {given.schema['k'].dataType.simpleString()}, digest binary, n long, node long, point binary, prefix array<long>")
 
 
 def blocks(nodes: DataFrame) -> DataFrame:
@@ -167,12 +186,8 @@ def bound_holds(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def bounded(batches):
         for batch in batches:
-            keep = np.ones(len(batch), bool)
-            usable = np.flatnonzero((batch["p_a"].map(len) > 0) & (batch["p_b"].map(len) > 0))
-            if len(usable):
-                p, q = (np.frombuffer(b"".join(batch[c].iloc[usable]), np.uint8).reshape(-1, GROUPS) for c in ("p_a", "p_b"))
-                most = np.minimum(p, q).sum(axis=1, dtype=np.int64)
-                keep[usable] = most >= needed_overlap(batch["n_a"].to_numpy()[usable], batch["n_b"].to_numpy()[usable])
+            p, q = _points(batch["p_a"]), _points(batch["p_b"])
+            keep = shared_counts(p, q) >= needed_overlap(batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
             yield batch.loc[keep, ["a", "b"]]
 
     return both.mapInPandas(bounded, "a long, b long")
@@ -208,11 +223,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     return both.mapInPandas(compared, "a long, b long")
 
 
-def near_rows(points: np.ndarray, sizes: np.ndarray, point: np.ndarray, size: int, bounded: np.ndarray | bool = True) -> np.ndarray:
-    """Rows whose sizes allow a link and, where ``bounded``, whose points do."""
-    most = np.minimum(points, point).sum(axis=1, dtype=np.int64)
+def near_rows(points: np.ndarray, sizes: np.ndarray, point: np.ndarray, size: int) -> np.ndarray:
+    """Rows whose sizes and points allow a link."""
     fits = DENOMINATOR * np.minimum(sizes, size) >= NUMERATOR * np.maximum(sizes, size)
-    return np.flatnonzero(fits & ((most >= needed_overlap(size, sizes)) | ~np.broadcast_to(bounded, fits.shape)))
+    return np.flatnonzero(fits & (shared_counts(points, point) >= needed_overlap(size, sizes)))
 
 
 class CountTree:
@@ -242,7 +256,7 @@ class CountTree:
             level, (top, low, high) = self.levels[depth]
             fits = (DENOMINATOR * high[live] >= NUMERATOR * size) & (NUMERATOR * low[live] <= DENOMINATOR * size)
             live = live[fits]
-            live = live[np.minimum(top[live], point).sum(axis=1, dtype=np.int64) >= needed_overlap(size, np.maximum(low[live], -(-NUMERATOR * size // DENOMINATOR)))]
+            live = live[shared_counts(top[live], point) >= needed_overlap(size, np.maximum(low[live], -(-NUMERATOR * size // DENOMINATOR)))]
             if not len(live):
                 return live
             live = np.concatenate([level[i] for i in live])
@@ -272,27 +286,32 @@ def dealt(members: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def tree_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components in a task of (shingle, task, side, node, root, n, point) whose bound allows a link.
+    """Pairs (a, b), a < b, of different components in a task of (shingle, task, side, node, root, n, point, block, blocks) whose bound allows a link.
 
-    Where a task has two sides, nodes of the one are searched in the tree of the other. Pairs leave in frames of bounded size.
+    Where a task has two sides, nodes of the one are searched in the tree of the other. Two nodes may meet in many blocks; their
+    pair leaves only where neither's carried ``blocks`` show a smaller one that both are in. Pairs leave in frames of bounded size.
     """
 
+    if "blocks" not in members.columns:
+        members = members.withColumn("block", F.lit(0).cast("long")).withColumn("blocks", F.array().cast("array<long>"))
+
     def searched(batches):
-        for block in _runs(batches, ["shingle", "task"]):
-            node, root, n, side = (block[c].to_numpy() for c in ("node", "root", "n", "side"))
-            full = np.array([len(p) == GROUPS for p in block["point"]])
-            # Without a usable point, counts of 255 everywhere bound nothing.
-            points = np.stack([np.frombuffer(p, np.uint8) if ok else np.full(GROUPS, 255, np.uint8) for p, ok in zip(block["point"], full)])
+        for group in _runs(batches, ["shingle", "task"]):
+            node, root, n, side = (group[c].to_numpy() for c in ("node", "root", "n", "side"))
+            here = int(group["block"].iloc[0])
+            points = _points(group["point"])
+            earlier = np.stack([_earlier(b, here) for b in group["blocks"]])
             asked = np.flatnonzero(side == 0)
             held = np.flatnonzero(side == 1) if side.any() else asked
-            own_points, own_n, own_full = points[held], n[held], full[held]
-            tree = CountTree(own_points, own_n) if len(held) > LEAF and full.all() else None
+            own_points, own_n = points[held], n[held]
+            tree = CountTree(own_points, own_n) if len(held) > LEAF else None
             out_a, out_b, waiting = [], [], 0
             for i in asked:
-                # A document with counts beyond a byte has no point: its block is compared by components only.
-                near = tree.search(points[i], int(n[i])) if tree else near_rows(own_points, own_n, points[i], int(n[i]), own_full & full[i])
-                near = held[near]
+                near = held[tree.search(points[i], int(n[i])) if tree else near_rows(own_points, own_n, points[i], int(n[i]))]
                 near = near[(root[near] != root[i]) & ((node[near] > node[i]) | (side[near] == 1))]
+                before = earlier[i][earlier[i] >= 0]
+                if len(near) and len(before):
+                    near = near[~np.isin(earlier[near], before).any(axis=1)]
                 out_a.append(np.minimum(node[near], node[i]))
                 out_b.append(np.maximum(node[near], node[i]))
                 waiting += len(near)
@@ -305,6 +324,14 @@ def tree_pairs(members: DataFrame) -> DataFrame:
     return members.repartition("shingle", "task").sortWithinPartitions("shingle", "task").mapInPandas(searched, "a long, b long").distinct()
 
 
+def _earlier(blocks: np.ndarray, here: int) -> np.ndarray:
+    """Numbers of carried blocks before this one, filled up with -1."""
+    out = np.full(_CARRIED, -1, np.int64)
+    before = blocks[blocks < here]
+    out[: len(before)] = before
+    return out
+
+
 def _runs(batches, columns: list[str]):
     """Frames of equal ``columns`` from batches sorted by them, one at a time."""
     held = []
@@ -325,12 +352,33 @@ def _runs(batches, columns: list[str]):
         yield pd.concat(held)
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (key, n_shingles, component_id) per row of ``docs``: the smallest key that links reach.
+def _unsettled(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shingle, node, root) of all blocks, staged, and (shingle, rows) of those that still hold several components.
 
-    Null and empty texts, and texts without words, have no shingles and are linked with nothing: their component is their own key.
-    Repeated rows and equal sets are one node, so copies cost nothing; a null key is never a component's smallest unless it is alone.
+    Blocks of two nodes are settled by their only pair. Blocks of the same nodes, told by two 64-bit digests and their number, are one.
     """
+    rooted = shared.select("shingle", "node").join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
+    rooted = stage(rooted, "rooted")
+    alike = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in (1, 2)]
+    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), *alike).where("lo <> hi and rows > 2")
+    mixed = mixed.groupBy("rows", "d1", "d2").agg(F.min("shingle").alias("shingle")).select("shingle", "rows")
+    return rooted, stage(mixed, "mixed")
+
+
+def _new_pairs(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """``pairs`` as (a, b), a < b, each once, without those in ``tried``."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.join(tried, ["a", "b"], "left_anti")
+
+
+def _star(members: DataFrame, number: int) -> DataFrame:
+    """(a, b): one node of each block, by a hash that all blocks share, with each node of another component in the block."""
+    centre = members.groupBy("shingle").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(number))).alias("c"))
+    return members.join(centre, "shingle").where("c.root <> root").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+
+
+def _rooted_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, digest of the text, n, root) per row, staged: ``root`` is null without shingles, else the smallest set that links reach."""
     spark = docs.sparkSession
     all_rows = stage(signatures(docs, key, text), "signatures")
     filled = all_rows.where("n > 0")
@@ -344,38 +392,70 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     with wide_batches(spark):
         shared = stage(blocks(nodes), "blocks")
     points = stage(nodes.select("node", "k", "n", "point").join(shared.select("node").distinct(), "node"), "points")
-    star = shared.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    tried = stage(star, "tried")
-    with wide_batches(spark):
-        near = stage(bound_holds(tried, points), "near")
-    links = stage(verified(near, points, docs, key, text), "links")
-    roots = stage(components(links), "roots")
 
-    rooted = shared.select("shingle", "node").join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
-    rooted = stage(rooted, "rooted")
-    # Blocks of two nodes are settled by their only pair.
-    # Blocks of the same nodes, told by two 64-bit digests and the number of nodes, are searched once.
-    alike = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in (1, 2)]
-    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), *alike).where("lo <> hi and rows > 2")
-    mixed = mixed.groupBy("rows", "d1", "d2").agg(F.min("shingle").alias("shingle")).select("shingle", "rows")
-    mixed = stage(mixed, "mixed")
-    members = rooted.join(mixed.select("shingle"), "shingle").join(points.select("node", "n", "point"), "node")
-    more = tree_pairs(dealt(members, checked(mixed.where(F.col("rows") > CHUNK).select("shingle")))).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    def linked(pairs: DataFrame) -> DataFrame:
+        with wide_batches(spark):
+            near = stage(bound_holds(pairs, points), "near")
+        return stage(verified(near, points, docs, key, text), "links")
+
+    star = shared.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    tried = stage(_new_pairs(star, star.limit(0)), "tried")
+    links = linked(tried)
+    roots = stage(components(links), "roots")
+    rooted, mixed = _unsettled(shared, roots)
+    for number in range(STARS):
+        members = rooted.join(mixed.select("shingle"), "shingle")
+        pairs = stage(_new_pairs(_star(members, number), tried), "star")
+        if not pairs.head(1):
+            break
+        links, tried = links.unionByName(linked(pairs)), tried.unionByName(pairs)
+        roots = stage(components(stage(links, "links")), "roots")
+        rooted, mixed = _unsettled(shared, roots)
+
+    # Numbered in no order; what counts is that a block has the same number everywhere.
+    numbered = stage(mixed.withColumn("block", F.monotonically_increasing_id()), "numbered")
+    inside = stage(rooted.join(numbered, "shingle"), "members")
+    carried = inside.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("block")), 1, _CARRIED).alias("blocks"))
+    members = inside.select("shingle", "block", "node", "root").join(points.select("node", "n", "point"), "node").join(carried, "node")
+    more = _new_pairs(tree_pairs(dealt(members, checked(mixed.where(F.col("rows") > CHUNK).select("shingle")))), tried)
     with wide_batches(spark):
         more = stage(more, "more")
     found = verified(more, points, docs, key, text)
     every = stage(components(stage(links.unionByName(found), "links")), "roots")
+    labelled = all_rows.select("k", "digest", "n", "node").join(every, "node", "left")
+    return stage(labelled.select("k", "digest", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root")), "labelled")
+
+
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (key, n_shingles, component_id) per row of ``docs``: the smallest key that links reach.
 
-    labelled = all_rows.select("k", "n", "node").join(every, "node", "left")
-    labelled = stage(labelled.select("k", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root")), "labelled")
+    Null and empty texts, and texts without words, have no shingles and are linked with nothing: their component is their own key.
+    Repeated rows and equal sets are one node, so copies cost nothing; a null key is never a component's smallest unless it is alone.
+    """
+    labelled = _rooted_rows(docs, key, text)
     # Only sets that have copies or links need the smallest key of their component.
     least = labelled.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("k").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("root", "least")
     named = labelled.join(least, "root", "left")
-    return named.select(F.col("k").alias(key), "n_shingles", F.coalesce("least", "k").alias("component_id"))
+    return named.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "k").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those whose component has a smaller key; columns are untouched, and rows without shingles stay."""
-    gone = join_components(docs, key, text).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("__gone")).distinct()
-    gone = checked(stage(gone, "gone"), BROADCAST_LIMIT)
-    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each component: the one of the smallest key, null keys last, then of the smallest text digest.
+
+    Rows are told by key and text, so a text stays although its key has another text that goes; of repeated rows of one key
+    and text one stays. Rows without shingles all stay. Columns are untouched.
+    """
+    rows = _rooted_rows(docs, key, text).where(F.col("root").isNotNull()).select("root", F.struct(F.col("k").isNull().alias("nil"), "k", "digest").alias("row"))
+    groups = rows.groupBy("root").agg(F.min("row").alias("one"), F.count("*").alias("rows")).where("rows > 1")
+    told = stage(rows.join(groups.select("root", "one"), "root").groupBy("row", (F.col("row") == F.col("one")).alias("stays")).count(), "told")
+    named = told.select(F.col("row.k").alias("__k"), F.col("row.digest").alias("__digest"), "stays", "count")
+    out = checked(named.where("not stays or count > 1").select("__k", "__digest"), BROADCAST_LIMIT)
+    back = checked(named.where("stays and count > 1").select("__k", "__digest"), BROADCAST_LIMIT)
+    marked = docs.withColumn("__own", _digest(text))
+    same = marked[key].eqNullSafe(F.col("__k")) & (F.col("__own") == F.col("__digest"))
+    repeated = marked.join(back, same, "left_semi").dropDuplicates([key, "__own"])
+    return marked.join(out, same, "left_anti").unionByName(repeated).drop("__own")
+
+
+def _digest(text: str) -> F.Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
