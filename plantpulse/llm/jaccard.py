@@ -40,7 +40,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 # The count that stands for all that do not fit a byte; block numbers that a node carries with it.
 _OPEN, _CARRIED = 255, 64
 # Rounds in which every block that still holds several components tries them with another of its nodes.
-STARS = 2
+STARS = 1
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -149,33 +149,36 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def blocks(nodes: DataFrame) -> DataFrame:
-    """(shingle, node, first): nodes that share a prefix shingle with others, and the smallest node among them.
+    """(shingle, node, first, large): nodes that share a prefix shingle with others, the smallest of them, and whether they are three or more.
 
-    Rows are dealt by shingle and sorted; a task sees one shingle after the other and keeps no more than its first node.
+    Rows are dealt by shingle and sorted; a task sees one shingle after the other and keeps two rows of the last one at most.
     """
 
     def shared(batches):
-        ahead = None  # the first row of a block whose second row may come in the next batch
-        shingle, first, begun = None, None, False
+        kept_s, kept_v = np.empty(0, np.int64), np.empty(0, np.int64)  # of a block that may go on
+        going = None  # (shingle, first) of a large block of which rows have left already
         for batch in batches:
-            s, v = batch["shingle"].to_numpy(), batch["node"].to_numpy()
-            new = np.concatenate([[shingle is None or s[0] != shingle], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
+            s, v = np.concatenate([kept_s, batch["shingle"]]), np.concatenate([kept_v, batch["node"]])
             if not len(s):
                 continue
-            start = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-            lead = np.where(start >= 0, v[np.maximum(start, 0)], first if first is not None else 0)
-            follow = ~new
-            # A block's own first row counts if a row follows it here; one carried over is added when it is followed.
-            led = np.append(new[:-1] & follow[1:], False)
-            out = [pd.DataFrame({"shingle": s[follow | led], "node": v[follow | led], "first": lead[follow | led]})]
-            if ahead is not None and follow[0]:
-                out.insert(0, pd.DataFrame({"shingle": [ahead[0]], "node": [ahead[1]], "first": [ahead[1]]}))
-            ahead = (s[-1], v[-1]) if new[-1] else None
-            shingle, first = s[-1], lead[-1]
-            yield pd.concat(out)
+            begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            size = np.diff(np.append(begin, len(s)))
+            first, large = v[begin], size > 2
+            if going is not None and s[0] == going[0]:
+                first[0], large[0] = going[1], True
+            waits = 0 if large[-1] else size[-1]
+            stays = size > 1
+            stays[0] |= going is not None and s[0] == going[0]
+            stays[-1] &= not waits
+            going = (s[-1], first[-1]) if large[-1] else None
+            out = pd.DataFrame({"shingle": s, "node": v, "first": np.repeat(first, size), "large": np.repeat(large, size)})
+            kept_s, kept_v = s[len(s) - waits :], v[len(s) - waits :]
+            yield out[np.repeat(stays, size)]
+        if len(kept_s) == 2:
+            yield pd.DataFrame({"shingle": kept_s, "node": kept_v, "first": kept_v[:1].repeat(2), "large": False})
 
     spread = nodes.select(F.explode("prefix").alias("shingle"), "node").repartition("shingle").sortWithinPartitions("shingle", "node")
-    return spread.mapInPandas(shared, "shingle long, node long, first long")
+    return spread.mapInPandas(shared, "shingle long, node long, first long, large boolean")
 
 
 def bound_holds(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -353,14 +356,14 @@ def _runs(batches, columns: list[str]):
 
 
 def _unsettled(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shingle, node, root) of all blocks, staged, and (shingle, rows) of those that still hold several components.
+    """(shingle, node, root) of the given blocks, staged, and (shingle, rows) of those that still hold several components.
 
-    Blocks of two nodes are settled by their only pair. Blocks of the same nodes, told by two 64-bit digests and their number, are one.
+    Blocks of the same nodes, told by two 64-bit digests and their number, are one.
     """
     rooted = shared.select("shingle", "node").join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
     rooted = stage(rooted, "rooted")
     alike = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in (1, 2)]
-    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), *alike).where("lo <> hi and rows > 2")
+    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), *alike).where("lo <> hi")
     mixed = mixed.groupBy("rows", "d1", "d2").agg(F.min("shingle").alias("shingle")).select("shingle", "rows")
     return rooted, stage(mixed, "mixed")
 
@@ -402,15 +405,16 @@ def _rooted_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     tried = stage(_new_pairs(star, star.limit(0)), "tried")
     links = linked(tried)
     roots = stage(components(links), "roots")
-    rooted, mixed = _unsettled(shared, roots)
+    # Blocks of two nodes are settled by their only pair, and a settled block stays so: components only grow.
+    rooted, mixed = _unsettled(shared.where("large"), roots)
     for number in range(STARS):
-        members = rooted.join(mixed.select("shingle"), "shingle")
+        members = stage(rooted.join(mixed.select("shingle"), "shingle"), "unsettled")
         pairs = stage(_new_pairs(_star(members, number), tried), "star")
         if not pairs.head(1):
             break
         links, tried = links.unionByName(linked(pairs)), tried.unionByName(pairs)
         roots = stage(components(stage(links, "links")), "roots")
-        rooted, mixed = _unsettled(shared, roots)
+        rooted, mixed = _unsettled(members, roots)
 
     # Numbered in no order; what counts is that a block has the same number everywhere.
     numbered = stage(mixed.withColumn("block", F.monotonically_increasing_id()), "numbered")

@@ -104,3 +104,22 @@ def test_counts_beyond_their_range_bound_nothing():
     assert jaccard.shared_counts(p, q) == 12
     q[0] = jaccard._OPEN
     assert jaccard.shared_counts(p, q) == np.iinfo(np.int64).max
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 5, 1000])
+def test_blocks_whatever_the_batches(spark, rows):
+    rng = random.Random(9)
+    given = [(node, [rng.randrange(60) if rng.random() < 0.7 else 100 + node for _ in range(6)]) for node in range(120)]
+    given = [(node, sorted({*prefix, *([7] if node < 40 else [])})) for node, prefix in given]
+    of = {}
+    for node, prefix in given:
+        for s in prefix:
+            of.setdefault(s, []).append(node)
+    want = Counter((s, v, nodes[0], len(nodes) > 2) for s, nodes in of.items() if len(nodes) > 1 for v in nodes)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        found = jaccard.blocks(spark.createDataFrame(given, "node long, prefix array<long>"))
+        assert Counter(tuple(r) for r in found.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
