@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ from ..operators.resample import resample
 from ..storage import BROADCAST_ROWS
 
 _ROW = "_row"
-# Headers looked up at the same time.
+# Distinct headers looked up at the same time.
 _LOOKUPS = 16
 _KNOWN_TYPES = {f.name: f.dataType for f in READING_SCHEMA}
 
@@ -71,11 +72,38 @@ def _run_table(spark: SparkSession, files: Sequence[str], paths: Sequence[str],
     return F.broadcast(labelled) if len(rows) <= BROADCAST_ROWS else labelled
 
 
+def _first_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """First line by plain path, found in one job: a task per block, which ends at its first line. Empty files have none."""
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    # A block that costs as much to open as a partition may hold is alone in its partition.
+    spark.conf.set("spark.sql.files.openCostInBytes", size)
+    try:
+        meta = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start")]
+        lines = spark.read.text(list(paths)).select(*meta, "value")
+
+        def first(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    if batch.column(1)[0].as_py() == 0:
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, 1), batch.column(2).slice(0, 1)], names=["path", "line"])
+                    return
+
+        found = lines.mapInArrow(first, "path string, line string").collect()  # as many rows as the listing has files
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    return {_plain_path(r["path"]): r["line"] for r in found}
+
+
 def _headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, ...]]:
-    """Column names of each file, looked up side by side; each look-up reads one line."""
-    first_line = lambda path: tuple(spark.read.option("header", True).option("escape", '"').csv(path).columns)
+    """Column names of each file: first lines are found in one job, and Spark reads the names of one file for each distinct line."""
+    lines = _first_lines(spark, paths)
+    own = [lines.get(_plain_path(p)) for p in paths]
+    examples = dict(zip(own, paths))
+    names = lambda path: tuple(spark.read.option("header", True).option("escape", '"').csv(path).columns)
     with ThreadPoolExecutor(_LOOKUPS) as pool:
-        return list(pool.map(first_line, paths))
+        columns = dict(zip(examples, pool.map(names, examples.values())))
+    return [columns[line] for line in own]
 
 
 def _read_group(spark: SparkSession, paths: list[str], header: tuple[str, ...]) -> DataFrame:

@@ -100,3 +100,25 @@ def test_exports(spark, tmp_path):
         tables.export_split(df, str(tmp_path / "x"), "xlsx")
     path = tables.write_predictions(df, str(tmp_path / "data.csv"))
     assert path.endswith("data_predictions.csv") and readings.read_csv(spark, path).count() == 10
+
+
+def test_headers_of_many_parts_are_one_look_up(spark, tmp_path):
+    """A thousand small parts of three headers, an empty file and names with blanks: one job for the lines, one for each header."""
+    from plantpulse.sources import readings as source
+
+    headers = ["timestamp,a", "timestamp,b", '"timestamp","a b"']
+    for i in range(1_000):
+        (tmp_path / f"run {i % 7}.csv").mkdir(exist_ok=True)
+        (tmp_path / f"run {i % 7}.csv" / f"part-{i:04}.csv").write_text(f"{headers[i % 3]}\n2024-01-01 00:00:00,{i}\n" * (1 if i != 5 else 20_000))
+    (tmp_path / "run 0.csv" / "part-none.csv").write_text("")
+    parts = sorted(str(p) for p in tmp_path.glob("*/part-*.csv"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "look-up")
+    found = dict(zip(parts, source._headers(spark, parts)))
+    names = [("timestamp", "a"), ("timestamp", "b"), ("timestamp", "a b")]
+    for path, columns in found.items():
+        number = path.rpartition("part-")[2].removesuffix(".csv")
+        assert columns == (() if number == "none" else names[int(number) % 3])
+    assert len(tracker.getJobIdsForGroup("headers")) <= 1 + 4
+    loaded = source.load_runs(spark, sorted(str(p) for p in tmp_path.glob("run *.csv")))
+    assert loaded.count() == 999 + 39_999 and set(loaded.columns) == {"timestamp", "a", "b", "a b", "run_id"}
