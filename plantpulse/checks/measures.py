@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..columns import CSV_OPTIONS
 from ..operators import evaluate, quality
+from ..sinks import tables
+from ..storage import new_folder, stage
 from .base import PATCHY, READINGS, READINGS_WIDE, num, patchy, readings, readings_wide, registry, whole
 
 CHECKS, check = registry()
@@ -204,15 +207,34 @@ def eval_weighted(spark, folder):
     return evaluate.weighted_metrics(evaluate.confusion(predictions(spark, folder)))
 
 
-@check(
-    "eval_report",
+_REPORT_SQL = (
     f"""{_PER_CLASS}
     SELECT class, {num('precision')} AS precision, {num('recall')} AS recall, {num('f1')} AS f1_score, support FROM scored
     UNION ALL SELECT 'accuracy', {num('sum(hits) / sum(support)')}, {num('sum(hits) / sum(support)')},
                      {num('sum(hits) / sum(support)')}, {whole('sum(support)')} FROM scored
     UNION ALL SELECT 'macro avg', {num('avg(precision)')}, {num('avg(recall)')}, {num('avg(f1)')}, {whole('sum(support)')} FROM scored
     UNION ALL SELECT 'weighted avg', {num('sum(precision * support) / sum(support)')}, {num('sum(recall * support) / sum(support)')},
-                     {num('sum(f1 * support) / sum(support)')}, {whole('sum(support)')} FROM scored""",
+                     {num('sum(f1 * support) / sum(support)')}, {whole('sum(support)')} FROM scored"""
 )
+
+
+@check("eval_report", _REPORT_SQL)
 def eval_report(spark, folder):
     return evaluate.classification_report(evaluate.confusion(predictions(spark, folder)))
+
+
+@check("metrics_json", _REPORT_SQL)
+def metrics_json(spark, folder):
+    """The per-class report as it is read back from the metrics files."""
+    counts = stage(evaluate.confusion(predictions(spark, folder)), "confusion")
+    path = new_folder(spark, "metrics")
+    tables.write_metrics(evaluate.weighted_metrics(counts), evaluate.classification_report(counts), path)
+    assert spark.read.json(f"{path}/metrics").count() == 1
+    return spark.read.json(f"{path}/report").select("class", "precision", "recall", "f1_score", "support")
+
+
+@check("predictions_csv", f"{_PREDICTIONS} SELECT label, prediction, count(*) AS rows FROM predictions GROUP BY 1, 2")
+def predictions_csv(spark, folder):
+    """Predictions written next to their source, read back and counted."""
+    path = tables.write_predictions(predictions(spark, folder), f"{new_folder(spark, 'source')}.csv")
+    return evaluate.confusion(spark.read.options(**CSV_OPTIONS).csv(path))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..columns import CSV_OPTIONS, HEADER_TRANSLATION, SENSOR_RANGES
-from ..operators import splits
+from ..operators import filters, splits
 from ..sinks import tables
 from ..sources import readings as sources
 from ..sources import records
@@ -241,3 +241,15 @@ def union_by_name(spark, folder):
     warned = table.where("health_status = 'Warning'").select("health_status", F.lit("oil_temp_increase").alias("warning_type"), "sensor_value", "event_id")
     failed = table.where("health_status = 'Failure'").select("health_status", "event_id")
     return sources.union_by_name([normal, warned, failed])
+
+
+@check(
+    "by_condition",
+    f"""WITH {PATCHY} SELECT CASE WHEN health_status = 'Normal' THEN 'normal' ELSE 'abnormal' END AS condition, event_id FROM patchy WHERE health_status IS NOT NULL
+    UNION ALL SELECT 'unknown', event_id FROM patchy""",
+)
+def by_condition(spark, folder):
+    """The three conditions that a prediction over files may ask for, side by side."""
+    given = patchy(spark, folder).where("health_status is not null"), patchy(spark, folder)
+    parts = [filters.by_condition(given[c == "unknown"], c).select(F.lit(c).alias("condition"), "event_id") for c in ("normal", "abnormal", "unknown")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
