@@ -96,9 +96,6 @@ HEADER_TRANSLATION = {
     "وضعیت سلامت": "health_status",
 }
 
-# Time ranges offered by the monitoring panels.
-PANEL_RANGES = {"5m": "5 minutes", "10m": "10 minutes", "30m": "30 minutes", "1h": "1 hour"}
-
 # --- End of fixed values. ---
 
 # CSV with a header, doubled quotes and microseconds, as most tools write it.
