@@ -7,9 +7,10 @@ Random points are about equally far apart in so many dimensions, so one tree ove
 points are therefore dealt to blocks first, without losing a link: of n shingles two linked documents share one of their
 first n - ceil(t n) + 1 in a common order (frequent shingles last). Equal sets are one node. In each block the first node
 is linked tentatively to the others; these pairs, linear in the block, are bounded by their points, verified on the whole
-sets, and joined to components. Then every block that still holds several components goes into an R-tree: each point asks
-the tree for the points whose bound allows a link, subtrees that cannot are skipped, and pairs across components are
-verified. A pair of one component needs no check, so groups of near copies never become all their pairs.
+sets, and joined to components; a second node of the blocks that are not settled yet is tried the same way. Then every block
+that still holds several components goes into an R-tree: each point asks the tree for the points whose bound allows a link,
+subtrees that cannot are skipped, and pairs across components leave, from one of the blocks that hold both, to be verified.
+A pair of one component needs no check, so groups of near copies never become all their pairs.
 """
 
 from __future__ import annotations
