@@ -2,14 +2,16 @@
 
 A text becomes its words joined by single spaces, so a phrase is a substring between spaces and every place
 is found in one pass. Identifier tags (``SPDX-License-Identifier:``) are followed by an expression of
-identifiers joined by ``and``, ``or`` and ``with``; it is parsed, and its meaning is kept as alternatives of
-requirements. Labels are taken from the phrases found and from every identifier of a well-formed expression.
+identifiers joined by ``and``, ``or`` and ``with``; it is parsed, and its meaning is kept as one form for all ways
+to write it in another order. Labels are taken from the phrases found and from every identifier of a well-formed expression.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -110,12 +112,11 @@ def postfix(items: Iterable[str]) -> list[str]:
     return out
 
 
-# An expression of more alternatives than this is kept as its identifiers only.
-ALTERNATIVES = 64
-
-
 def evaluate(expression: list[str]) -> set[frozenset[str]]:
-    """Alternatives of a postfix expression: each is a set of licences that hold together."""
+    """Alternatives of a postfix expression: each is a set of licences that hold together.
+
+    Their number doubles with each ``and`` of two choices; ``normal_form`` says the same in the length of the expression.
+    """
     stack: list[set[frozenset[str]]] = []
     for item in expression:
         if item not in _RANK:
@@ -130,12 +131,74 @@ def evaluate(expression: list[str]) -> set[frozenset[str]]:
             if len(right) != 1 or len(left) != 1 or len(min(right)) != 1 or len(min(left)) != 1:
                 raise BadExpression("with joins one licence and one exception")
             both = {frozenset([f"{min(min(left))} with {min(min(right))}"])}
-        if len(both) > ALTERNATIVES:
-            raise BadExpression("too many alternatives")
         stack.append(both)
     return stack[0]
 
 
+class _Joined:
+    """What one operator joins: names, and groups of the other operator by digest, so equal parts stand once in any order."""
+
+    def __init__(self, operator: str, *parts: str | _Joined):
+        self.operator, self.names, self.groups = operator, set(), {}
+        for part in parts:
+            if isinstance(part, str):
+                self.names.add(part)
+            else:
+                self.groups[part.digest()] = part
+
+    def size(self) -> int:
+        return len(self.names) + len(self.groups)
+
+    def take(self, other: _Joined) -> None:
+        self.names |= other.names
+        self.groups |= other.groups
+
+    def digest(self) -> bytes:
+        whole = hashlib.md5(f"{self.operator}\n{chr(10).join(sorted(self.names))}\n".encode())
+        for part in sorted(self.groups):
+            whole.update(part)
+        return whole.digest()
+
+
+def normal_form(expression: list[str]) -> str:
+    """A postfix expression as text: names sorted, then bracketed groups in a fixed order, equal parts once.
+
+    Work and result are in proportion to the expression, whatever its number of alternatives or its depth.
+    """
+    stack: list[str | _Joined] = []
+    for item in expression:
+        if item not in _RANK:
+            stack.append(item)
+            continue
+        right, left = stack.pop(), stack.pop()
+        if item == "with":
+            if not isinstance(left, str) or not isinstance(right, str) or " " in left or " " in right:
+                raise BadExpression("with joins one licence and one exception")
+            stack.append(f"{left} with {right}")
+            continue
+        # Parts of the same operator flow together, the shorter into the longer.
+        alike = sorted((p for p in (left, right) if isinstance(p, _Joined) and p.operator == item), key=_Joined.size, reverse=True)
+        whole = alike[0] if alike else _Joined(item)
+        for part in (left, right):
+            if part is not whole:
+                whole.take(part if part in alike else _Joined(item, part))
+        only = [*whole.names, *whole.groups.values()] if whole.size() == 1 else [whole]
+        stack.append(only[0])
+    out, waiting = [], [stack[0]]
+    while waiting:
+        part = waiting.pop()
+        if isinstance(part, str):
+            out.append(part)
+            continue
+        inner: list[str | _Joined] = []
+        for name in sorted(part.names):
+            inner += [f" {part.operator} ", name]
+        for key in sorted(part.groups):
+            inner += [f" {part.operator} ", "(", part.groups[key], ")"]
+        waiting += reversed(inner[1:])
+    return "".join(out)
+
+
 def expression_at(text: str) -> list[str]:
     """Postfix form of the longest well-formed expression at the start of ``text``; empty if there is none."""
     items = tokens(text)
@@ -150,12 +213,22 @@ def expression_at(text: str) -> list[str]:
             break
         operand = is_name or item == ")"
         end += 1
-    for stop in range(end, max(0, end - 4), -1):
-        try:
-            return postfix(items[:stop])
-        except BadExpression:
-            continue
-    return []
+    complete = _complete(items[:end])
+    return postfix(items[:complete]) if complete else []
+
+
+def _complete(items: list[str]) -> int:
+    """Length of the longest start of ``items`` that is an expression: operands and operators take turns and brackets are closed."""
+    best, depth, operand = 0, 0, False
+    for at, item in enumerate(items, 1):
+        opens, joins = item == "(", item == ")" or item.lower() in _RANK
+        if operand != joins or (item == ")" and not depth):
+            break
+        depth += opens - (item == ")")
+        operand = not opens and item.lower() not in _RANK
+        if operand and not depth:
+            best = at
+    return best
 
 
 def label_of(identifier: str) -> str:
@@ -198,11 +271,8 @@ class Scanner:
                 names = [x for x in parsed if x not in _RANK]
                 if not names:
                     continue
-                try:
-                    alternatives = sorted(" and ".join(sorted(a)) for a in evaluate(parsed))
-                except BadExpression:
-                    alternatives = []
-                expressions.append(" or ".join(alternatives))
+                with suppress(BadExpression):
+                    expressions.append(normal_form(parsed))
                 labels.update(label_of(x) for i, x in enumerate(parsed) if x not in _RANK and not (i + 1 < len(parsed) and parsed[i + 1] == "with"))
                 miss = min(miss, 1.0 - TAG_SURE)
         return {
@@ -213,7 +283,7 @@ class Scanner:
             "base_labels": ",".join(sorted(base_labels)),
             "labels": ",".join(sorted(labels | base_labels)),
             "score": 1.0 - miss,
-            "expressions": [e for e in expressions if e],
+            "expressions": expressions,
         }
 
 
@@ -221,7 +291,7 @@ RESULT = "n_words long, n_base long, first_word long, last_word long, base_label
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: base places, labels, a score (the surest notice found, else 0) and the evaluated expressions.
+    """One row per row of ``docs``: base places, labels, a score (the surest notice found, else 0) and the expressions in normal form.
 
     Null and empty texts have no words and no labels. Malformed expressions give no label. Repeated rows and null keys
     are scanned like any other row; other columns are not read, so their names cannot clash.
