@@ -45,11 +45,19 @@ def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column of ``df``, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, target) of at most ``rows`` labelled documents outside the held-out fold, in the order of a hash of the key.
+    """(key, text, target) of at most ``rows`` labelled documents outside the held-out fold, one for each of the first keys by a hash.
 
-    The bounded label table is broadcast, so the documents are scanned once and not shuffled. A key with
-    several labels takes the largest; null keys, null labels and null texts are left out.
+    The bounded label table is broadcast, so the documents are scanned once; rows of a sampled key meet map-side, and the text
+    of the least hash stays. A key with several labels takes the largest; null keys, null labels and null texts are left out.
     """
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(target).isNotNull() & ~held_out(key))
@@ -59,4 +67,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int,
         .limit(rows)
     )
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias(key), F.col(text).alias(text))
-    return texts.join(F.broadcast(stage(chosen, "labels")), key)
+    told = texts.join(F.broadcast(stage(chosen, "labels")), key)
+    one = told.groupBy(key, target).agg(F.min(F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t"))).alias("least"))
+    return one.select(key, F.col("least.t").alias(text), target)

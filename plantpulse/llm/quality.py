@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
-from .common import bounded_batches, labelled_sample
+from .common import bounded_batches, free_name, labelled_sample
 
 # Rated documents that the model is fitted on, at most; buckets of the hash; passes of the optimiser; weight decay.
 SAMPLE_DOCS = 10_000
@@ -183,8 +183,10 @@ def judged(docs: DataFrame, model: Model | None, text: str = "text", out: str =
     """``docs`` with a struct ``out`` of ``expected`` grade and ``tails`` (P(grade > k) for each k).
 
     Null and empty texts are given the expected grade 0 and tails 0; without a model every text gets nulls.
-    Other columns, repeated rows and null keys pass through untouched.
+    Other columns, repeated rows and null keys pass through untouched; where one of them is called ``out``, the struct
+    takes the name that ``free_name`` gives.
     """
+    out = free_name(docs, out)
     kind = "expected double, tails array<double>"
     if model is None:
         return docs.withColumn(out, F.lit(None).cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>"))
