@@ -2,7 +2,8 @@
 
 Folding lower-cases a text, turns look-alike letters of other scripts and digits or signs used as letters into the
 Latin letters they stand for, and makes everything but letters a space; the same folding is applied where the
-lexicon is learned. An entry is a word start or a whole word, weighted by how much likelier it is in toxic documents.
+lexicon is learned. An entry is a word start or a whole word, weighted by how much likelier it is in toxic documents; an
+exception is a pair of words around an entry that is likelier in clean ones.
 """
 
 from __future__ import annotations
@@ -20,16 +21,16 @@ from pyspark.sql import functions as F
 
 from ..storage import stage
 from . import matching
-from .common import bounded_batches, labelled_sample
+from .common import bounded_batches, checked, labelled_sample
 
 # Labelled documents that the lexicon is learned from, at most.
 SAMPLE_DOCS = 20_000
-# Lexicon entries kept, word starts tried (letters), and what an entry must show in the sample.
-ENTRIES = 2_000
+# Word starts tried (letters), and what an entry must show in the sample: toxic documents, how many times likelier it is there,
+# and evidence that leaves so many false ones to be expected among all that are tried. Exceptions must show the same of clean documents.
 STARTS = (4, 5, 6, 7)
-LEAST_TOXIC, LEAST_SHARE, LEAST_RATIO = 4, 0.01, 8.0
-# Strength is the sum of weights over this power of the length: between a plain sum (0) and a density (1).
-LENGTH_POWER = 0.75
+LEAST_DOCS, LEAST_RATIO, BY_CHANCE = 4, 8.0, 0.01
+# Strength is the sum of weights over a power of the length, between a plain sum (0) and a density (1); the sample chooses it.
+POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 # Words added to a text's length, so that one hit in a very short text does not decide alone.
 SHORT = 8
 
@@ -40,7 +41,7 @@ HOMOGLYPHS = {
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
-# --- Phrases in which a word of the lexicon is meant otherwise. ---
+# --- Phrases in which a word of the lexicon is meant otherwise, besides those that are learned. ---
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown car", "stupid simple", "sore loser board", "not stupid", "no idiot", "not worthless")
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -70,25 +71,26 @@ def fold(text: str | None) -> str:
 
 
 class Lexicon(NamedTuple):
-    """``entries``: pattern (a space, then a word start, or a word and a space) -> weight; ``slope`` and ``offset`` calibrate."""
+    """``entries``: pattern (a space, then a word start, or a word and a space) -> weight; ``slope`` and ``offset`` calibrate.
+
+    ``power`` is the one of the length by which the weights are divided.
+    """
 
     entries: dict[str, float]
     slope: float
     offset: float
     exceptions: tuple[str, ...] = EXCEPTIONS
+    power: float = 1.0
 
 
 class Matcher:
     def __init__(self, lexicon: Lexicon):
         patterns = {p: ("entry", w) for p, w in lexicon.entries.items()}
         patterns.update({f" {e} ": ("exception", 0.0) for e in lexicon.exceptions})
-        self.automaton, self.slope, self.offset = matching.automaton(patterns), lexicon.slope, lexicon.offset
+        self.automaton, self.slope, self.offset, self.power = matching.automaton(patterns), lexicon.slope, lexicon.offset, lexicon.power
 
-    def strength(self, text: str | None) -> float:
-        """Weights of the words that an entry fits, the heaviest entry of each, per word of the text."""
-        line = fold(text)
-        if not line:
-            return 0.0
+    def weight(self, line: str) -> float:
+        """Weights of the words of a folded text that an entry fits, the heaviest entry of each, outside the exceptions."""
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         for start, end, (kind, weight) in matching.places(self.automaton, line):
@@ -96,8 +98,31 @@ class Matcher:
                 best[start] = max(weight, best.get(start, 0.0))
             else:
                 spared.append((start, end))
-        total = sum(w for at, w in best.items() if not any(a <= at < b - 1 for a, b in spared))
-        return total / (line.count(" ") - 1 + SHORT) ** LENGTH_POWER if total else 0.0
+        # Of the exceptions that start no later than a word, the one that ends last decides.
+        total, reach, waiting = 0.0, 0, iter([*sorted(spared), (len(line), 0)])
+        start, end = next(waiting)
+        for at in sorted(best):
+            while start <= at:
+                reach = max(reach, end - 1)
+                start, end = next(waiting)
+            total += best[at] if at >= reach else 0.0
+        return total
+
+    def pairs(self, line: str) -> set[str]:
+        """Two neighbouring words of a folded text, one of which an entry fits."""
+        found, last = set(), len(line) - 1
+        for at in {start for start, _, (kind, _) in matching.places(self.automaton, line) if kind == "entry"}:
+            end = line.index(" ", at + 1)
+            if at:
+                found.add(line[line.rindex(" ", 0, at) + 1 : end])
+            if end < last:
+                found.add(line[at + 1 : line.index(" ", end + 1)])
+        return found
+
+    def strength(self, text: str | None) -> float:
+        """The weight per word of the text, by the power of its length; 0 without words."""
+        line = fold(text)
+        return self.weight(line) / length_of(line) ** self.power if line else 0.0
 
     def score(self, text: str | None) -> float:
         z = self.slope * math.log1p(100.0 * self.strength(text)) + self.offset
@@ -116,6 +141,27 @@ def patterns_of(line: str) -> set[str]:
     return found
 
 
+def length_of(line: str) -> int:
+    """Words of a folded text, and ``SHORT`` more."""
+    return line.count(" ") - 1 + SHORT
+
+
+def _evidence(a: F.Column, b: F.Column, of_a: int, of_b: int) -> F.Column:
+    """Log-likelihood ratio that ``a`` of ``of_a`` and ``b`` of ``of_b`` documents have different shares; exp(-it) bounds the chance of more."""
+    share = (a + b) / F.lit(of_a + of_b)
+    parts = ((a, share * of_a), (b, share * of_b), (of_a - a, (1 - share) * of_a), (of_b - b, (1 - share) * of_b))
+    return sum((F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in parts), F.lit(0.0))
+
+
+def _telling(counted: DataFrame, side: str, sizes: dict[str, int]) -> DataFrame:
+    """(p, ratio) of staged (p, bad, good) that are ``LEAST_RATIO`` times likelier in documents of ``side``, beyond chance among all ``counted``."""
+    other = "good" if side == "bad" else "bad"
+    tests = max(1, counted.count())
+    ratio = (F.col(side) / sizes[side]) / ((F.col(other) + 0.5) / sizes[other])
+    sure = _evidence(F.col(side), F.col(other), sizes[side], sizes[other]) >= math.log(tests / BY_CHANCE)
+    return counted.where(sure & (ratio >= LEAST_RATIO)).select("p", ratio.alias("ratio"))
+
+
 def _calibrate(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a ridge logistic fit by Newton's method on counts of toxic and clean rows at each x."""
     beta, n = np.array([1.0, -1.0]), toxic + clean
@@ -133,9 +179,10 @@ def _calibrate(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[flo
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE_DOCS) -> Lexicon:
     """Learn a lexicon and its calibration from at most ``sample`` labelled documents outside the held-out fold.
 
-    Entries are counted in the toxic documents, then the surviving ones in all documents of the sample. What reaches
-    the driver is bounded: ``ENTRIES`` entries and 1,000 steps of strength. Without toxic or clean rows the lexicon is empty
-    and every score is the same value under a half.
+    Entries are counted in the toxic documents, then the surviving ones in all documents of the sample; every one that passes
+    the test of ``_telling`` is kept, and so is every exception. The power of the length is the one whose calibrated scores have the least
+    log loss on the sample. What reaches the driver is bounded by the sample: entries, exceptions and 1,000 steps of
+    strength for each power. Without toxic or clean rows the lexicon is empty and every score is the same value under a half.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -149,26 +196,45 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for batch in batches:
             yield pd.DataFrame({"p": [p for t in batch["t"] for p in patterns_of(fold(t))]}, columns=["p"])
 
-    least = max(LEAST_TOXIC, round(LEAST_SHARE * bad))
-    counted = given.where("y").mapInPandas(candidates, "p string").groupBy("p").agg(F.count("*").alias("bad")).where(F.col("bad") >= least)
-    # A pattern's share in the clean documents decides; candidates are met there by hashing, not by a shuffle of all patterns.
-    tried = stage(counted, "toxic-candidates")
-    clean = given.where(~F.col("y")).mapInPandas(candidates, "p string").join(F.broadcast(tried.select("p").orderBy(F.desc("bad"), "p").limit(60_000)), "p")
-    ratio = ((F.col("bad") + 0.0) / bad) / ((F.coalesce("good", F.lit(0)) + 0.5) / good)
-    weighed = tried.join(clean.groupBy("p").agg(F.count("*").alias("good")), "p", "left").select("p", "bad", ratio.alias("ratio"))
-    rows = weighed.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc(F.log("ratio") * F.col("bad")), "p").limit(ENTRIES).collect()
-    entries = {r["p"]: math.log(r["ratio"]) for r in rows}
-    matcher = spark.sparkContext.broadcast(Lexicon(entries, 1.0, 0.0))
+    of = {"bad": bad, "good": good}
+    tried = given.where("y").mapInPandas(candidates, "p string").groupBy("p").agg(F.count("*").alias("bad"))
+    tried = stage(tried.where(F.col("bad") >= LEAST_DOCS), "toxic-candidates")
+    # Candidates are met in the clean documents by hashing, while they fit a broadcast, not by a shuffle of all patterns.
+    clean = given.where(~F.col("y")).mapInPandas(candidates, "p string").join(checked(tried.select("p")), "p").groupBy("p").agg(F.count("*").alias("good"))
+    counted = stage(tried.join(clean, "p", "left").select("p", "bad", F.coalesce("good", F.lit(0)).alias("good")), "toxic-counted")
+    entries = {r["p"]: math.log(r["ratio"]) for r in _telling(counted, "bad", of).orderBy("p").collect()}
+    plain = spark.sparkContext.broadcast(Lexicon(entries, 1.0, 0.0))
+
+    def paired(batches):
+        own = Matcher(plain.value)
+        for batch in batches:
+            found = [(p, y) for t, y in zip(batch["t"], batch["y"]) for p in own.pairs(fold(t))]
+            yield pd.DataFrame(found, columns=["p", "y"]).astype({"y": bool})
+
+    both = [F.count_if(F.col("y")).alias("bad"), F.count_if(~F.col("y")).alias("good")]
+    phrases = stage(given.mapInPandas(paired, "p string, y boolean").groupBy("p").agg(*both).where(F.col("good") >= LEAST_DOCS), "toxic-phrases")
+    learned = [r["p"] for r in _telling(phrases, "good", of).orderBy("p").collect()]
+    exceptions = tuple(dict.fromkeys([*EXCEPTIONS, *learned]))
+    matcher = spark.sparkContext.broadcast(Lexicon(entries, 1.0, 0.0, exceptions))
 
     def stepped(batches):
         own = Matcher(matcher.value)
         for batch in batches:
-            x = [math.log1p(100.0 * own.strength(t)) for t in batch["t"]]
-            yield pd.DataFrame({"x": np.minimum(1000, np.rint(np.array(x) * 50)).astype("int32"), "y": batch["y"]})
-
-    steps = given.mapInPandas(stepped, "x int, y boolean").groupBy("x").agg(F.sum(F.col("y").cast("int")).alias("bad"), F.count("*").alias("n")).toPandas()
-    slope, offset = _calibrate(steps["x"].to_numpy(float) / 50, steps["bad"].to_numpy(float), (steps["n"] - steps["bad"]).to_numpy(float))
-    return Lexicon(entries, slope, offset)
+            lines = [fold(t) for t in batch["t"]]
+            weight, length = np.array([own.weight(t) for t in lines]), np.array([length_of(t) for t in lines], float)
+            for i, power in enumerate(POWERS):
+                x = np.rint(50 * np.log1p(100.0 * weight / length**power))
+                yield pd.DataFrame({"power": i, "x": np.minimum(1000, x).astype("int32"), "y": batch["y"]})
+
+    steps = given.mapInPandas(stepped, "power int, x int, y boolean").groupBy("power", "x").agg(*both).toPandas()
+    fits = []
+    for i, own in steps.groupby("power"):
+        x, toxic, calm = own["x"].to_numpy(float) / 50, own["bad"].to_numpy(float), own["good"].to_numpy(float)
+        slope, offset = _calibrate(x, toxic, calm)
+        z = np.clip(slope * x + offset, -40, 40)
+        fits.append((float(toxic @ np.logaddexp(0, -z) + calm @ np.logaddexp(0, z)), POWERS[i], slope, offset))
+    _, power, slope, offset = min(fits)
+    return Lexicon(entries, slope, offset, exceptions, power)
 
 
 def score_column(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> F.Column:
