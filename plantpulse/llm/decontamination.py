@@ -98,25 +98,24 @@ def _without(text, spans) -> F.Column:
     return F.array_join(F.filter(pieces, lambda _, i: ~F.exists(spans, lambda s: (i >= s["first"]) & (i < s["end"]))), "")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without benchmark passages; its columns stay as they are but for the text.
 
     A document that is benchmark text by ``WHOLE_SHARE`` or more of its words goes. In others the passages are cut out; what then
-    meets could be a passage again, so changed documents are scanned again, and what still has hits after ``rounds`` goes.
+    meets could be a passage again, so changed documents are scanned again until none has hits; every round shortens them.
     Clean rows, null texts included, pass unchanged. The documents are not shuffled while the hits fit a broadcast.
     """
     columns = docs.columns
     clean, changed = [], docs
-    for _ in range(rounds):
+    while True:
         hits = stage(find_hits(changed, benchmark, key, text).select(F.col(key).alias("__key"), F.col("text_key").alias("__text"), F.col("spans").alias("__spans"), F.col("n_hit").alias("__hit")), "hits")
+        if not hits.head(1):
+            break
         same = changed[key].eqNullSafe(F.col("__key")) & (_text_key(changed[text]) == F.col("__text"))
         both = changed.join(checked(hits), same, "left")
         clean.append(both.where(F.col("__hit").isNull()).select(*columns))
         cut = both.where(F.col("__hit") < WHOLE_SHARE * F.size(words_of(F.col(text))))
         changed = stage(cut.withColumn(text, _without(F.col(text), F.col("__spans"))).select(*columns), "cut")
-    last = find_hits(changed, benchmark, key, text).select(F.col(key).alias("__key"), F.col("text_key").alias("__text"))
-    same = changed[key].eqNullSafe(F.col("__key")) & (_text_key(changed[text]) == F.col("__text"))
-    out = changed.join(last, same, "left_anti").select(*columns)
     for part in clean:
-        out = out.unionByName(part)
-    return out
+        changed = changed.unionByName(part)
+    return changed
