@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -194,13 +195,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def candidates(batches):
         for batch in batches:
-            yield pd.DataFrame({"p": [p for t in batch["t"] for p in patterns_of(fold(t))]}, columns=["p"])
+            met = Counter(p for t in batch["t"] for p in patterns_of(fold(t)))
+            yield pd.DataFrame({"p": list(met), "n": list(met.values())}, columns=["p", "n"])
 
     of = {"bad": bad, "good": good}
-    tried = given.where("y").mapInPandas(candidates, "p string").groupBy("p").agg(F.count("*").alias("bad"))
+    tried = given.where("y").mapInPandas(candidates, "p string, n int").groupBy("p").agg(F.sum("n").alias("bad"))
     tried = stage(tried.where(F.col("bad") >= LEAST_DOCS), "toxic-candidates")
     # Candidates are met in the clean documents by hashing, while they fit a broadcast, not by a shuffle of all patterns.
-    clean = given.where(~F.col("y")).mapInPandas(candidates, "p string").join(checked(tried.select("p")), "p").groupBy("p").agg(F.count("*").alias("good"))
+    clean = given.where(~F.col("y")).mapInPandas(candidates, "p string, n int").join(checked(tried.select("p")), "p").groupBy("p").agg(F.sum("n").alias("good"))
     counted = stage(tried.join(clean, "p", "left").select("p", "bad", F.coalesce("good", F.lit(0)).alias("good")), "toxic-counted")
     entries = {r["p"]: math.log(r["ratio"]) for r in _telling(counted, "bad", of).orderBy("p").collect()}
     plain = spark.sparkContext.broadcast(Lexicon(entries, 1.0, 0.0))
@@ -208,11 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def paired(batches):
         own = Matcher(plain.value)
         for batch in batches:
-            found = [(p, y) for t, y in zip(batch["t"], batch["y"]) for p in own.pairs(fold(t))]
-            yield pd.DataFrame(found, columns=["p", "y"]).astype({"y": bool})
+            met = Counter((p, y) for t, y in zip(batch["t"], batch["y"]) for p in own.pairs(fold(t)))
+            yield pd.DataFrame([(p, n * y, n * (not y)) for (p, y), n in met.items()], columns=["p", "bad", "good"])
 
-    both = [F.count_if(F.col("y")).alias("bad"), F.count_if(~F.col("y")).alias("good")]
-    phrases = stage(given.mapInPandas(paired, "p string, y boolean").groupBy("p").agg(*both).where(F.col("good") >= LEAST_DOCS), "toxic-phrases")
+    phrases = given.mapInPandas(paired, "p string, bad int, good int").groupBy("p").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    phrases = stage(phrases.where(F.col("good") >= LEAST_DOCS), "toxic-phrases")
     learned = [r["p"] for r in _telling(phrases, "good", of).orderBy("p").collect()]
     exceptions = tuple(dict.fromkeys([*EXCEPTIONS, *learned]))
     matcher = spark.sparkContext.broadcast(Lexicon(entries, 1.0, 0.0, exceptions))
@@ -226,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 x = np.rint(50 * np.log1p(100.0 * weight / length**power))
                 yield pd.DataFrame({"power": i, "x": np.minimum(1000, x).astype("int32"), "y": batch["y"]})
 
-    steps = given.mapInPandas(stepped, "power int, x int, y boolean").groupBy("power", "x").agg(*both).toPandas()
+    steps = given.mapInPandas(stepped, "power int, x int, y boolean").groupBy("power", "x").agg(F.count_if("y").alias("bad"), F.count_if(~F.col("y")).alias("good")).toPandas()
     fits = []
     for i, own in steps.groupby("power"):
         x, toxic, calm = own["x"].to_numpy(float) / 50, own["bad"].to_numpy(float), own["good"].to_numpy(float)
