@@ -2,7 +2,7 @@
 
 A template is any function from turns to text. Its output for the first k turns is compared with that for the first
 k - 1: what is added is the k-th turn's span, and a template that changes what it wrote before is told by an output that does
-not start with the one before. Where a turn's text stands inside its span is found by rendering the turn with a probe in place
+not start with the one before. Where a template's author states how far back it looks, prefixes start anew every ``BLOCK`` turns. Where a turn's text stands inside its span is found by rendering the turn with a probe in place
 of its text. The loss mask is made of these places for the assistant's turns.
 
 The library's own template marks turns with control strings and escapes them inside texts reversibly.
@@ -30,13 +30,16 @@ BEGIN, MIDDLE, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROLS = (BEGIN, MIDDLE, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 LEARNED = "assistant"
 
+# Turns whose prefixes are rendered from one start, where a template's reach is known.
+BLOCK = 32
+
 _CONTROL = re.compile("|".join(sorted(map(re.escape, CONTROLS), key=len, reverse=True)))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 # Characters of the private area: no control string, nothing to escape or trim.
 _PROBE = "\ue000probe\ue001"
 
 
-@lru_cache(maxsize=1024)  # a turn is rendered once for every longer prefix
+@lru_cache(maxsize=1024)  # a turn is rendered once for every longer prefix of its block
 def escape(text: str) -> str:
     """``text`` without control strings: backslashes are doubled, and one goes after the first character of each control."""
     doubled = text.replace("\\", "\\\\")
@@ -74,10 +77,25 @@ class Rendered(NamedTuple):
     rewrites: list[int]
 
 
-def locate(turns: list[Turn], template: Template = render, written: Callable[[str], str] = escape) -> Rendered:
-    """Render prefixes one turn longer each and compare consecutive outputs; ``written`` is how the template writes a text."""
-    before, spans, places, rewrites = template([]), [], [], []
-    for k, (role, text) in enumerate(turns):
+def locate(turns: list[Turn], template: Template = render, written: Callable[[str], str] = escape, reach: int | None = None) -> Rendered:
+    """Render prefixes one turn longer each and compare consecutive outputs; ``written`` is how the template writes a text.
+
+    ``reach`` is how many turns before a turn decide what the template writes for it, as its author states; None is any number.
+    With a reach, a long conversation is rendered in blocks of ``BLOCK`` turns behind the turns in reach, so the time grows with
+    its turns and not with their square. The parts must make up the one whole output; where they do not, or where a turn
+    rewrites, the statement does not hold and whole prefixes are rendered.
+    """
+    if reach is not None and len(turns) > BLOCK:
+        found = _by_blocks(turns, template, written, reach)
+        if found is not None:
+            return found
+    return _by_prefixes(turns, template, written)
+
+
+def _by_prefixes(turns: list[Turn], template: Template, written: Callable[[str], str], known: int = 0) -> Rendered:
+    """What ``locate`` returns, for the turns behind the first ``known`` ones."""
+    before, spans, places, rewrites = template(turns[:known]), [], [], []
+    for k, (role, text) in enumerate(turns[known:], known):
         now = template(turns[: k + 1])
         if not now.startswith(before):
             rewrites.append(k)
@@ -93,6 +111,24 @@ def locate(turns: list[Turn], template: Template = render, written: Callable[[st
     return Rendered(before, spans, places, rewrites)
 
 
+def _by_blocks(turns: list[Turn], template: Template, written: Callable[[str], str], reach: int) -> Rendered | None:
+    """What ``locate`` returns for a template of that ``reach``; None where the outputs show that it looks further back or rewrites."""
+    parts, spans, places = [template([])], [], []
+    at = len(parts[0])
+    for first in range(0, len(turns), BLOCK):
+        known = min(first, reach)
+        found = _by_prefixes(turns[first - known : first + BLOCK], template, written, known)
+        if found.rewrites:
+            return None
+        start = found.spans[0][0]
+        spans += [(a - start + at, b - start + at) for a, b in found.spans]
+        places += [p and (p[0] - start + at, p[1] - start + at) for p in found.places]
+        parts.append(found.output[start:])
+        at += len(found.output) - start
+    output = template(turns)
+    return Rendered(output, spans, places, []) if output == "".join(parts) else None
+
+
 def _place(template: Template, earlier: list[Turn], role: str, text: str, now: str, start: int, written: Callable[[str], str]) -> tuple[int, int] | None:
     probed = template([*earlier, (role, _PROBE)])
     at = probed.find(_PROBE, start)
@@ -137,19 +173,21 @@ def digest(turns: list[Turn]) -> str:
 RESULT = "conv long, formatted string, starts array<long>, ends array<long>, rewrites array<int>"
 
 
-def format_conversations(turns: DataFrame, template: Template = render, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_conversations(turns: DataFrame, template: Template = render, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", reach: int | None = None) -> DataFrame:
     """One row per conversation: ``formatted`` text, the loss mask as ``starts`` and ``ends``, and turns that ``rewrites`` history.
 
     Turns are dealt by conversation and sorted by turn (then role and text, so ties have one order); null turns come first,
     null texts and roles count as empty, and null conversation keys form one conversation. A task holds one conversation at a
-    time. Assistant texts whose place cannot be told are left out of the mask.
+    time, as its output is one row. ``reach`` is that of ``locate``; the library's own template looks at one turn alone. Other columns
+    are not read, and an empty table gives no rows. Assistant texts whose place cannot be told are left out of the mask.
     """
     bounded_batches(turns.sparkSession)
+    sees = 0 if template is render else reach
 
     def formatted(batches):
         rows = []
         for key, own in _conversations(batches):
-            found = locate(own, template, escape if template is render else str)
+            found = locate(own, template, escape if template is render else str, sees)
             mask = [p for p, (who, _) in zip(found.places, own) if who == LEARNED and p]
             rows.append((key, found.output, [a for a, _ in mask], [b for _, b in mask], found.rewrites))
             if len(rows) == 64:
