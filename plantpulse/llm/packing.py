@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from functools import cached_property
 from typing import NamedTuple
 
 import pandas as pd
@@ -24,7 +25,7 @@ from .common import bounded_batches
 CAPACITY = 1024
 END = 2
 # Entries of a worker's cache of encoded units, and the longest unit kept in it.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 CACHE_UNIT = 40
 
 # Where a space is followed by white space or the end, the tokenizer's pattern does not start a new match at each space.
@@ -52,14 +53,13 @@ class Encoder:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         step = spec["pre_tokenizer"]
         model = spec["model"]
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         plain = spec["normalizer"] is None and step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space")
         self.fast = None
         if plain and model["type"] == "BPE" and not model.get("unk_token") and not model.get("ignore_merges"):
@@ -70,6 +70,13 @@ class Encoder:
             self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, loaded by the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _unit(self, text: str) -> bytes:
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 
