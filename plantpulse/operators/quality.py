@@ -12,7 +12,7 @@ from ..columns import RUN, TIMESTAMP, numeric_columns
 from ..storage import small_side, stage
 from .filters import nan_to_null
 from .ordering import GROUP_ROWS, with_previous
-from .selection import grouped_quantiles
+from .selection import column_quantiles, grouped_quantiles
 
 # A value this many interquartile ranges outside the quartiles is an outlier.
 OUTLIER_RANGES = 3
@@ -26,15 +26,22 @@ def _melt(row: DataFrame, names: list[str], measures: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*parts)))
 
 
-def check_missing(df: DataFrame) -> DataFrame:
-    """(column, missing) for each column with nulls, and the total under ``*``; NaN is missing too."""
-    names = df.columns
-    counted = nan_to_null(df).agg(*[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in names])
+def _missing_counts(df: DataFrame) -> list[Column]:
+    absent = {f.name: F.col(f.name).isNull() | F.isnan(f.name) if f.dataType.typeName() in ("float", "double") else F.col(f.name).isNull() for f in df.schema}
+    return [F.count_if(a).alias(f"missing_{c}") for c, a in absent.items()]
+
+
+def _missing_rows(counted: DataFrame, names: list[str]) -> DataFrame:
     total = reduce(Column.__add__, [F.col(f"missing_{c}") for c in names])
     per_column = _melt(counted.withColumn("missing_*", total), [*names, "*"], ["missing"])
     return per_column.where((F.col("missing") > 0) | (F.col("column") == "*"))
 
 
+def check_missing(df: DataFrame) -> DataFrame:
+    """(column, missing) for each column with nulls, and the total under ``*``; NaN is missing too."""
+    return _missing_rows(df.agg(*_missing_counts(df)), df.columns)
+
+
 def check_duplicates(df: DataFrame, time: str = TIMESTAMP) -> DataFrame:
     """Rows beyond the first of each timestamp; null timestamps equal each other."""
     if time not in df.columns:
@@ -90,27 +97,33 @@ def check_gaps(df: DataFrame, order: Sequence[str], groups=(RUN,), time: str = T
     )
 
 
+_RANGES = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
+
+
+def _range_measures(df: DataFrame) -> list[Column]:
+    return [f(F.col(c).cast("double")).alias(f"{m}_{c}") for c in numeric_columns(df.schema) for m, f in _RANGES.items()]
+
+
 def check_ranges(df: DataFrame) -> DataFrame:
     """(column, min, max, mean, std) of each numeric column, with the sample standard deviation."""
-    names = numeric_columns(df.schema)
-    measures = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
-    row = df.agg(*[f(F.col(c).cast("double")).alias(f"{m}_{c}") for c in names for m, f in measures.items()])
-    return _melt(row, names, list(measures))
+    return _melt(df.agg(*_range_measures(df)), numeric_columns(df.schema), list(_RANGES))
 
 
 def check_outliers(df: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
-    """(column, outliers) of each numeric column with values far outside its quartiles."""
-    names = numeric_columns(df.schema)
-    bounds = {}
-    if df.count() <= limit:
-        quartiles = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in names]).first()
-        found = {c: quartiles[c] for c in names}
+    """(column, outliers) of each numeric column with values far outside its quartiles; NaN is read as null."""
+    return _outliers(df, df.count() <= limit)
+
+
+def _outliers(df: DataFrame, small: bool) -> DataFrame:
+    df, names = nan_to_null(df), numeric_columns(df.schema)
+    if small:
+        found = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in names]).first().asDict() if names else {}
     else:
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in names])))
-        found = {r["column"]: r["quantiles"] for r in grouped_quantiles(long, ["column"], "x", [0.25, 0.75], limit).collect()}
-    for name in names:
-        if found.get(name):
-            low, high = found[name]
+        found = column_quantiles(df, names, [0.25, 0.75])
+    bounds = {}
+    for name, quartiles in found.items():
+        if quartiles:
+            low, high = quartiles
             reach = OUTLIER_RANGES * (high - low)
             bounds[name] = (F.col(name) < F.lit(low - reach)) | (F.col(name) > F.lit(high + reach))
     row = df.agg(*[F.count_if(bounds[c] if c in bounds else F.lit(False)).alias(f"outliers_{c}") for c in names])
@@ -124,22 +137,36 @@ def _long(check: str, table: DataFrame, measures: list[str], column: Column) ->
 
 
 def validation_report(df: DataFrame, order: Sequence[str], time: str = TIMESTAMP, limit: int = GROUP_ROWS) -> DataFrame:
-    """All checks as rows (check, column, metric, value); ``*`` stands for the whole table."""
+    """All checks as rows (check, column, metric, value); ``*`` stands for the whole table.
+
+    Rows, missing values and ranges are one aggregate, whose single row is kept; order and gaps share one ordering of the
+    rows, written once.
+    """
     every = F.lit("*")
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), *_missing_counts(df), *_range_measures(df))
+    row = facts.first()
+    facts = df.sparkSession.createDataFrame([row], facts.schema)
     parts = [
-        _long("rows", df.agg(F.count(F.lit(1)).alias("rows")), ["rows"], every),
-        _long("missing", check_missing(df), ["missing"], F.col("column")),
+        _long("rows", facts, ["rows"], every),
+        _long("missing", _missing_rows(facts, df.columns), ["missing"], F.col("column")),
         _long("duplicates", check_duplicates(df, time), ["duplicates"], every),
-        _long("ranges", check_ranges(df), ["min", "max", "mean", "std"], F.col("column")),
-        _long("outliers", check_outliers(df, limit), ["outliers"], F.col("column")),
+        _long("ranges", _melt(facts, numeric_columns(df.schema), list(_RANGES)), list(_RANGES), F.col("column")),
+        _long("outliers", _outliers(df, row["rows"] <= limit), ["outliers"], F.col("column")),
     ]
     if time in df.columns:
-        gaps = check_gaps(df, order, (), time, limit)
-        sortedness = check_sorted(df, order, (), time, limit).select(F.col("is_sorted").cast("int").alias("is_sorted"))
-        parts += [
-            _long("sorted", sortedness, ["is_sorted"], every),
-            _long("gaps", gaps, ["gaps", "median_interval", "max_gap"], every),
-        ]
+        paired = _previous_times(df, order, [], time, limit)
+        steps = stage(paired.select(F.col(time).isNull().alias("undated"), _step(time).alias("step")), "steps")
+        middle = grouped_quantiles(steps, (), "step", [0.5], limit).first()
+        median = F.lit(middle["quantiles"][0] if middle else None).cast("double")
+        found = steps.agg(
+            (F.count_if(F.col("undated") | (F.coalesce("step", F.lit(0)) < 0)) == 0).cast("int").alias("is_sorted"),
+            F.count_if(F.col("step") > GAP_MEDIANS * median).alias("gaps"),
+            F.max(median).alias("median_interval"),
+            F.max("step").alias("max_gap"),
+        )
+        kinds = {"is_sorted": "sorted", "gaps": "gaps", "median_interval": "gaps", "max_gap": "gaps"}
+        rows = [F.struct(F.lit(k).alias("check"), F.lit("*").alias("column"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m, k in kinds.items()]
+        parts.append(found.select(F.inline(F.array(*rows))))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -10,6 +10,7 @@ rank. An interval shrinks about a hundredfold per pass, whatever the distributio
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -188,6 +189,73 @@ def grouped_quantiles(
     return cool.unionByName(hot_result.select(*keys, "n", "quantiles"))
 
 
+def column_quantiles(
+    df: DataFrame, names: Sequence[str], fractions: Sequence[float], final_rows: int = FINAL_ROWS
+) -> dict[str, list[float]]:
+    """Exact linear-interpolated quantiles of whole columns, as numbers; columns without a value are left out.
+
+    All columns are closed in on together, one aggregate over the unmoved rows a pass, with the trial values as literals.
+    Values are compared as doubles; nulls and NaN are no values.
+    """
+    x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in names}
+    sizes = df.agg(*[F.count(x[c]).alias(c) for c in names]).first() if names else {}
+    spots = {c: [f * (sizes[c] - 1) for f in fractions] for c in names if sizes[c]}
+    wanted = {(c, rank) for c, places in spots.items() for at in places for rank in (math.floor(at) + 1, math.ceil(at) + 1)}
+    # (rank inside, low, high) of each wanted (column, rank): an interval whose ends belong to it.
+    state = {k: (k[1], -math.inf, math.inf) for k in sorted(wanted)}
+    found: dict[tuple[str, int], float] = {}
+    points = F.array(*[F.lit(j / _GRID) for j in range(_GRID + 1)])
+    while state:
+        # Ranks of a column that are still in one interval share its counts.
+        spans = {s: i for i, s in enumerate(sorted({(c, low, high) for (c, _), (_, low, high) in state.items()}))}
+        row = df.agg(*[a for (c, low, high), i in spans.items() for a in _interval(x[c], low, high, i, points)]).first()
+        moved, few = {}, {}
+        for k, (r, low, high) in state.items():
+            i = spans[(k[0], low, high)]
+            under, on_low, between, grid = (row[f"{part}_{i}"] for part in ("under", "low", "between", "grid"))
+            r -= under
+            if r <= on_low:
+                found[k] = low
+            elif r > on_low + between:
+                found[k] = high
+            elif between <= final_rows:
+                few[k] = (r - on_low, low, high)
+            else:
+                # The grid's error is a fortieth of a step; the whole rank is asked for in the next pass, over all rows.
+                cell = (r - on_low) * _GRID // between
+                moved[k] = (k[1], grid[max(0, cell - 1)], grid[min(_GRID, cell + 2)])
+        found |= _ranked_inside(df, x, few)
+        state = moved
+    at = lambda c, spot: (found[c, math.floor(spot) + 1], found[c, math.ceil(spot) + 1], spot - math.floor(spot))
+    mixed = lambda low, high, part: low if low == high else low * (1 - part) + high * part
+    return {c: [mixed(*at(c, spot)) for spot in places] for c, places in spots.items()}
+
+
+def _interval(x: Column, low: float, high: float, i: int, points: Column) -> list[Column]:
+    """Counts under, on the low end of and between the ends of an interval, and a grid of the values between."""
+    inside = (x > F.lit(low)) & (x < F.lit(high))
+    return [
+        F.count_if(x < F.lit(low)).alias(f"under_{i}"),
+        F.count_if(x == F.lit(low)).alias(f"low_{i}"),
+        F.count_if(inside).alias(f"between_{i}"),
+        F.percentile_approx(F.when(inside, x), points, F.lit(40 * _GRID)).alias(f"grid_{i}"),
+    ]
+
+
+def _ranked_inside(df: DataFrame, x: dict[str, Column], few: dict[tuple[str, int], tuple[int, float, float]]) -> dict[tuple[str, int], float]:
+    """The values of ranks whose open intervals are known to hold few values; each interval is sorted once."""
+    spans = {s: i for i, s in enumerate(sorted({(c, low, high) for (c, _), (_, low, high) in few.items()}))}
+    if not spans:
+        return {}
+    place = lambda k: spans[(k[0], *few[k][1:])]
+    values = {
+        i: F.array_sort(F.collect_list(F.when((x[c] > F.lit(low)) & (x[c] < F.lit(high)), x[c]))) for (c, low, high), i in spans.items()
+    }
+    sorted_row = df.agg(*[v.alias(f"v_{i}") for i, v in values.items()])
+    picked = sorted_row.select(*[F.element_at(f"v_{place(k)}", F.lit(r)).alias(f"p_{j}") for j, (k, (r, _, _)) in enumerate(few.items())]).first()
+    return {k: picked[j] for j, k in enumerate(few)}
+
+
 def nth_value(df: DataFrame, value: str, n: int, final_rows: int = FINAL_ROWS):
     """The ``n``-th smallest (1-based) non-null value of a column."""
     ranks = df.sparkSession.range(1).select(F.lit(0).alias(_ALL), F.lit(n).cast("bigint").alias("rank"))

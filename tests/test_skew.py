@@ -90,6 +90,36 @@ def test_outliers(hot):
     assert same_rows(plain, quality.check_outliers(spread, limit=10))
 
 
+@pytest.mark.parametrize("final_rows", [3, 100_000])
+def test_column_quantiles(spark, hot, final_rows):
+    odd = hot.select(
+        F.col("sensor_value").alias("a"),
+        F.when(F.col("event_id") % 3 == 0, 7.0).when(F.col("event_id") % 3 == 1, 8.0).otherwise(F.col("event_id")).alias("ties"),
+        F.when(F.col("event_id") % 2 == 0, float("nan")).otherwise(F.col("event_id") % 2).cast("double").alias("half"),
+        F.lit(None).cast("double").alias("none"),
+        F.col("event_id").alias("whole"),
+    )
+    fractions = [0.25, 0.75, 1.0]
+    got = selection.column_quantiles(odd, odd.columns, fractions, final_rows)
+    exact = odd.toPandas().astype(float).quantile(fractions)
+    assert set(got) == {"a", "ties", "half", "whole"}
+    for name, values in got.items():
+        assert values == pytest.approx(exact[name].tolist())
+    assert selection.column_quantiles(odd.limit(0), odd.columns, fractions, final_rows) == {}
+
+
+def test_report_in_few_jobs(spark, hot):
+    spark.sparkContext.setJobGroup("report", "report")
+    plain = quality.validation_report(hot, ["event_id"])
+    rows = plain.collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("report"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 25 and {r["check"] for r in rows} >= {"rows", "missing", "duplicates", "ranges", "sorted", "gaps"}
+    rounded = lambda df: df.withColumn("value", F.round("value", 6))
+    assert same_rows(rounded(plain), rounded(quality.validation_report(hot, ["event_id"], limit=10)))
+    print("jobs", jobs)
+
+
 def test_carried_status(hot):
     rows = hot.where("run_id is not null")
     plain = batches.score_and_carry(rows, "event_id", rule_score)
