@@ -151,3 +151,17 @@ def test_layer_settings_reach_boosting(spark, tmp_path):
     assert spark.read.json(f"{base}/metrics_health_status/rounds").count() == len(fitted.history) > 0
     support = report.where("class = 'accuracy'").first()["support"]
     assert spark.read.options(**CSV_OPTIONS).csv(f"{base}/predictions").count() == support
+
+
+@pytest.mark.parametrize("absent", [False, True])
+def test_stored_layers_train_on_long_windows(spark, tmp_path, absent):
+    """So many readings in every window that the commonest status leads in all of them and all means lie above 50."""
+    from plantpulse.checks import CHECKS
+
+    kind = F.when(F.col("id") % 10 == 0, "error").when(F.col("id") % 10 == 1, "signup").otherwise("view")
+    spark.range(20_000).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 10_000_000).alias("ts"),
+        (F.col("id") % 7).alias("user_id"), kind.alias("event_type"), (F.col("id") % 101 + 60.0).alias("value"), F.lit("").alias("props"),
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    found = CHECKS["score_saved_layers_partial" if absent else "score_saved_layers"].query(spark, str(tmp_path))
+    assert found.count() > 100 and found.where("not known" if absent else "not (known and typed and sure)").isEmpty()
