@@ -56,7 +56,7 @@ def batch_features(
     sensors = sensor_columns(batched, time, STATUS, (run, BATCH, RULING, *exclude))
     names = [f"{c}_{s}" for s in statistics for c in sensors]
     members = batched.where(F.col(BATCH).isNotNull()).withColumn("_window", floor_time(F.col(time), window))
-    windows = aggregate_windows(members, [run, BATCH, "_window"], sensors, statistics, {}, count="_rows")
+    windows = aggregate_windows(members, [run, BATCH, "_window"], sensors, statistics, {}, count="_rows", limit=None)
     first = F.min_by(F.struct("_window", *names), "_window").alias("_first")
     full = windows.groupBy(run, BATCH).agg(first, F.sum("_rows").alias("_rows")).where(F.col("_rows") == size)
     return full.select(run, BATCH, F.col("_first._window").alias(time), *[F.col("_first")[n].alias(n) for n in names])

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..columns import RUN, STATUS, TIMESTAMP, numeric_columns, require_columns
 from ..functions.statistics import STANDARD, majority, statistic
 from ..functions.timebase import floor_time, frequency_interval
+from ..storage import small_side
 from .filters import nan_to_null
-from .ordering import GROUP_ROWS, with_neighbours, with_previous
+from .ordering import GROUP_ROWS, large_groups, with_neighbours, with_previous
 from .selection import grouped_quantiles
 
 _WINDOW = "_window"
@@ -50,32 +51,48 @@ def aggregate_windows(
     statistics: Sequence[str],
     labels: Mapping[str, Sequence[str] | None],
     count: str | None = None,
+    limit: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Statistics of the sensors and majority labels per group, and the group's rows as ``count``.
 
     Moments of many sensors in one aggregation make generated code too large to be compiled. With
     several sensors they are therefore taken over (sensor, value) pairs and brought back into columns by
-    a second, small aggregation; both combine map-side.
+    a second, small aggregation.
+
+    The partial results of these are many times as wide as the rows, and groups of a few rows have about as many of them. So
+    the rows are moved, once, to the task of their group, where both aggregations are made. Only groups of more than
+    ``limit`` rows are combined map-side; None says that there are none.
     """
     votes = [majority(F.col(c), known).cast(df.schema[c].dataType).alias(c) for c, known in labels.items()]
     votes += [F.count(F.lit(1)).alias(count)] if count else []
     if len(sensors) < 2 or not set(statistics) & MOMENTS:
         return df.groupBy(*keys).agg(*feature_aggregates(sensors, statistics), *votes)
-    values = F.array(*[F.col(c).cast("double") for c in sensors])
-    pairs = df.select(*keys, *labels, F.posexplode(values).alias("_sensor", "_x"))
-    measured = pairs.groupBy(*keys, "_sensor").agg(
-        *[statistic(s)(F.col("_x")).alias(f"_{s}") for s in statistics], *votes
-    )
-    columns = [
-        F.max(F.when(F.col("_sensor") == i, F.col(f"_{s}"))).alias(f"{c}_{s}")
-        for s in statistics
-        for i, c in enumerate(sensors)
-    ]
     # Known labels travel as numbers, which a hash aggregate can hold; text would force a sort.
     places = {c: F.array(*map(F.lit, known)) for c, known in labels.items() if known}
     whole = {c: F.element_at(places[c], F.max(F.array_position(places[c], F.col(c))).cast("int")) for c in places}
-    kept = [whole.get(c, F.max(c)).alias(c) for c in [*labels, *([count] if count else [])]]
-    return measured.groupBy(*keys).agg(*columns, *kept)
+
+    def measured(rows: DataFrame) -> DataFrame:
+        values = F.array(*[F.col(c).cast("double") for c in sensors])
+        pairs = rows.select(*keys, *labels, F.posexplode(values).alias("_sensor", "_x"))
+        single = pairs.groupBy(*keys, "_sensor").agg(
+            *[statistic(s)(F.col("_x")).alias(f"_{s}") for s in statistics], *votes
+        )
+        columns = [
+            F.max(F.when(F.col("_sensor") == i, F.col(f"_{s}"))).alias(f"{c}_{s}")
+            for s in statistics
+            for i, c in enumerate(sensors)
+        ]
+        kept = [whole.get(c, F.max(c)).alias(c) for c in [*labels, *([count] if count else [])]]
+        return single.groupBy(*keys).agg(*columns, *kept)
+
+    rows = df.select(*dict.fromkeys([*keys, *labels, *sensors]))
+    large = large_groups(rows, keys, limit) if limit is not None else None
+    if large is None:
+        return measured(rows.repartition(*keys))
+    large = small_side(large.select(*[F.col(k).alias(f"_of_{k}") for k in keys]))
+    same = reduce(Column.__and__, [rows[k].eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    few = rows.join(large, same, "left_anti").repartition(*keys)
+    return measured(few).unionByName(measured(rows.join(large, same, "left_semi")))
 
 
 def extract_features(

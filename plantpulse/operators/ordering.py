@@ -21,6 +21,9 @@ from ..storage import small_side, stage
 # Largest group that one task may sort.
 GROUP_ROWS = 1_000_000
 
+# Buckets in which groups are counted together to find out whether any can be large.
+_COUNT_BUCKETS = 1 << 16
+
 _BLOCK, _SLOT = "_block", "_slot"
 
 
@@ -29,6 +32,21 @@ def largest_group(df: DataFrame, groups: Sequence[str]) -> int:
     return sizes.agg(F.max("count")).first()[0] or 0
 
 
+def large_groups(df: DataFrame, groups: Sequence[str], limit: int = GROUP_ROWS) -> DataFrame | None:
+    """The groups of more than ``limit`` rows, None if there are none.
+
+    Rows are counted per bucket of groups first, which moves a few numbers per task however many groups there are. Groups
+    are counted by themselves only in buckets that hold more than ``limit`` rows.
+    """
+    placed = df.select(*groups, F.pmod(F.xxhash64(*groups), F.lit(_COUNT_BUCKETS)).alias("_bucket"))
+    full = [r[0] for r in placed.groupBy("_bucket").count().where(F.col("count") > limit).collect()]
+    if not full:
+        return None
+    inside = placed.where(F.col("_bucket").isin(full)).groupBy(*groups).count().where(F.col("count") > limit).drop("count")
+    found = stage(inside, "large")
+    return None if found.isEmpty() else found
+
+
 def _fits_window(df: DataFrame, groups: Sequence[str], limit: int) -> bool:
     return largest_group(df, groups) <= limit
 

@@ -136,6 +136,24 @@ def test_crossings_peaks_percentiles(hot):
     assert same_rows(rounded(percentiles(1_000_000)), rounded(percentiles(10)))
 
 
+def test_features_of_several_sensors(hot):
+    """Rows are moved once, to the task of their window; windows too large for that, and only those, are combined map-side."""
+    rows = hot.withColumns({"day": F.date_trunc("day", "timestamp"), "other": F.col("sensor_value") * F.col("event_id")})
+    keys, sensors, labels = ["day", "run_id"], ["sensor_value", "other"], {"health_status": ["Failure", "Normal", "Warning"]}
+    made = lambda **more: features.aggregate_windows(rows, keys, sensors, ("mean", "skewness", "kurtosis"), labels, count="n", **more)
+    rounded = lambda df: df.select(*keys, "health_status", "n", *[F.round(c, 6).alias(c) for c in df.columns if c.startswith(("sensor_", "other_"))])
+    assert made().agg(F.max("n"), F.sum("n")).first()[:] == (made(limit=10).agg(F.max("n")).first()[0], rows.count())
+    assert same_rows(rounded(made()), rounded(made(limit=10)))
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(made()) == exchanges(made(limit=None)) == 1
+
+
+def test_large_groups(spark, hot):
+    found = ordering.large_groups(hot, ["run_id"], 300)
+    assert same_rows(found, hot.groupBy("run_id").count().where("count > 300").select("run_id")) and found.count() == 1
+    assert ordering.large_groups(hot, ["event_id"], 1) is None and ordering.large_groups(hot.limit(0), ["run_id"], 1) is None
+
+
 @pytest.mark.parametrize("partitions", ["1", "4", "32"])
 def test_result_does_not_depend_on_partitions(spark, hot, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
