@@ -18,6 +18,7 @@ from ..streaming import flows
 from .base import DAY, HOUR, READINGS, READINGS_WIDE, RUN_FILES, WIDE_SENSORS, events, floor_sql, num, patchy, readings, readings_wide, registry, text
 from .ordering import VALID_SQL, rule_models
 from .partitions import quota_split_sql
+from .streams import in_batches
 
 CHECKS, check = registry()
 
@@ -314,9 +315,8 @@ def stream_saved_layers(spark, folder):
     table = stage(batches.batch_features(batched, exclude=("event_id",)), "features")
     rule = F.when(F.col("sensor_value_max") > 100, "Failure").when(F.col("sensor_value_max") > 60, "Warning").otherwise("Normal")
     layers = saved.SavedLayers.load(spark, *_stored_layers(spark, table.withColumn("health_status", rule), "health_status", "sensor_value_min", 50.0))
-    source, out, progress = (new_folder(spark, label) for label in ("replay", "stream", "progress"))
-    given.write.parquet(source)
-    query = flows.write_batches(saved.stream_verdicts(flows.replay(spark, source, given.schema), layers, key="event_id"), out, progress)
+    out, progress = (new_folder(spark, label) for label in ("stream", "progress"))
+    query = flows.write_batches(saved.stream_verdicts(in_batches(spark, given, "timestamp"), layers, key="event_id"), out, progress)
     query.awaitTermination()
     live = spark.read.parquet(out).select("event_id", "run_id", "health_status", "fault_type")
     expected = batches.with_carried_status(batched, layers.score(table)).select("event_id", F.col("health_status").alias("_s"), F.col("fault_type").alias("_f"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..columns import STATUSES
 from ..operators import sessions
@@ -23,12 +24,17 @@ def _replayed(spark, table):
     return flows.replay(spark, path, table.schema)
 
 
-def _in_batches(spark, table, time: str, batches: int = 3, files: int = 4):
-    """A batch table as a stream of several micro-batches that follow each other in time."""
+def in_batches(spark, table, time: str, batches: int = 3, files: int = 4, most: int = 1_000_000):
+    """A batch table as a stream of several micro-batches that follow each other in time, each of about ``most`` rows at most."""
+    batches = max(batches, -(-table.count() // most))
     micros = F.unix_micros(time)
-    cuts = table.select(F.percentile_approx(micros, [i / batches for i in range(1, batches)])).first()[0]
-    block = sum((F.coalesce(micros > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
-    return _delivered(spark, [table.where(block == i) for i in range(batches)], files)
+    cuts = table.select(F.percentile_approx(micros, [i / batches for i in range(1, batches)])).first()[0] or []
+    block = F.size(F.filter(F.array(*map(F.lit, sorted(cuts))), lambda cut: F.coalesce(micros > cut, F.lit(False)))) if cuts else F.lit(0)
+    # Dealt once, so that each delivery reads its own rows only.
+    path = new_folder(spark, "blocks")
+    table.withColumn("_block", block).write.partitionBy("_block").parquet(path)
+    dealt = spark.read.schema(T.StructType([*table.schema.fields, T.StructField("_block", T.IntegerType())])).parquet(path)
+    return _delivered(spark, [dealt.where(F.col("_block") == i).drop("_block") for i in range(batches)], files)
 
 
 def _delivered(spark, parts, files: int = 4):
@@ -81,7 +87,7 @@ def stream_points_sink(spark, folder):
 def stream_count_window(spark, folder):
     """Batches of five valid rows per run, scored, with the status carried over the stream."""
     path, progress = _outputs(spark)
-    stream = _in_batches(spark, patchy(spark, folder), "timestamp")
+    stream = in_batches(spark, patchy(spark, folder), "timestamp")
     scored = scoring.score_stream(stream, "event_id", rule_score)
     table = _finish(spark, flows.write_batches(scored, path, progress), path)
     return table.select("event_id", "run_id", "health_status", "fault_type")
@@ -108,7 +114,7 @@ _SCORED_POINTS_SQL = f"""WITH carried AS ({CARRIED_SQL}), source AS (
 def stream_scored_points(spark, folder):
     """The whole scoring stream: validate, batch, score, carry, tag, write."""
     path, progress = _outputs(spark)
-    stream = _in_batches(spark, patchy(spark, folder), "timestamp")
+    stream = in_batches(spark, patchy(spark, folder), "timestamp")
     query = scoring.write_scored_points(stream, "event_id", "plant", path, progress, rule_score)
     return point_entries(_finish(spark, query, path))
 

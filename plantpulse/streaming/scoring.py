@@ -6,7 +6,8 @@ are ordinary columns computed downstream. Scoring is deterministic, so all rows
 batch get the same status, as if the status itself had been carried.
 
 The state of a run is at most two batches. A run's rows of one micro-batch are sorted in one task,
-which the trigger bounds (``files_per_trigger``); order across micro-batches is arrival order.
+which the trigger bounds (``files_per_trigger``); they leave it in pieces, since the readings of its batch make a row
+many times as large. Order across micro-batches is arrival order.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from ..operators.filters import is_complete
 from .flows import write_points
 
 _VALID, _TIMES, _VALUES = "_valid", "_batch_times", "_batch_values"
+# Rows that carry their batch's readings at the same time.
+PIECE_ROWS = 10_000
 _STATE = T.StructType(
     [
         T.StructField("open_times", T.ArrayType(T.LongType())),
@@ -48,9 +51,9 @@ def _batch_keeper(order: list[str], sensors: list[str], size: int):
     def step(_, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else ([], [], [], [])
         rows = pd.concat(list(chunks), ignore_index=True)
-        rows = rows.sort_values(order, na_position="first", ignore_index=True)
-        valid = rows[_VALID].to_numpy()
-        fresh = rows[valid]
+        place = rows[order].sort_values(order, na_position="first").index.to_numpy()
+        valid = rows[_VALID].to_numpy()[place]
+        fresh = rows[["_micros", *sensors]].iloc[place[valid]]
         times = np.concatenate([np.asarray(held[0], "int64"), fresh["_micros"].to_numpy("int64")])
         values = np.concatenate(
             [np.asarray(held[1], "float64").reshape(-1, width), fresh[sensors].to_numpy("float64")]
@@ -58,20 +61,27 @@ def _batch_keeper(order: list[str], sensors: list[str], size: int):
         # Number of batches that are full at each row; zero leaves the batch kept from before.
         full = (len(held[0]) + np.cumsum(valid)) // size
         last = len(times) // size
-        done_times = [held[2]] + [times[i * size : (i + 1) * size] for i in range(last)]
-        done_values = [held[3]] + [values[i * size : (i + 1) * size].ravel() for i in range(last)]
-        rows[_TIMES] = [list(done_times[i]) for i in full]
-        rows[_VALUES] = [list(done_values[i]) for i in full]
+
+        def done(kept, x, i: int) -> list:
+            return x[(i - 1) * size : i * size].ravel().tolist() if i else list(kept)
+
         as_list = lambda kind, x: [kind(v) for v in np.ravel(x)]
         state.update(
             (
                 as_list(int, times[last * size :]),
                 as_list(float, values[last * size :]),
-                as_list(int, done_times[last]),
-                as_list(float, done_values[last]),
+                as_list(int, done(held[2], times, last)),
+                as_list(float, done(held[3], values, last)),
             )
         )
-        yield rows
+        for start in range(0, len(place), PIECE_ROWS):
+            own = full[start : start + PIECE_ROWS]
+            piece = rows.iloc[place[start : start + PIECE_ROWS]].reset_index(drop=True)
+            # Rows of one batch share its lists.
+            for name, kept, x in ((_TIMES, held[2], times), (_VALUES, held[3], values)):
+                shared = {i: done(kept, x, i) for i in np.unique(own).tolist()}
+                piece[name] = [shared[i] for i in own.tolist()]
+            yield piece
 
     return step
 

@@ -100,3 +100,46 @@ def test_points(spark, folders):
     found = finish(spark, flows.write_points(chunked(spark, table, source, 2), "plant", out, progress), out)
     assert found.count() == table.count()
     assert found.where("tags['fault_type'] != 'none' or fields['event_id'] is null").count() == 0
+
+
+def test_rows_with_their_batch_leave_in_pieces(monkeypatch):
+    """A run of any length in one micro-batch: no piece is large, and rows in any order carry what single rows in order would."""
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    n = 2 * scoring.PIECE_ROWS + 13
+    at = np.arange(n)
+    rows = pd.DataFrame({"t": pd.to_datetime(at, unit="s"), "k": at, "x": at * 0.5, "_micros": at * 1_000_000, "_valid": at % 7 > 0})
+    state = State()
+    keep = scoring._batch_keeper(["t", "k"], ["x"], 5)
+    first, second = rows[:-10].sample(frac=1, random_state=1), rows[-10:]
+    pieces = [p for part in (first, second) for p in keep(None, iter([part[: len(part) // 2], part[len(part) // 2 :]]), state)]
+    assert max(map(len, pieces)) <= scoring.PIECE_ROWS and len(pieces) == 4
+    found = pd.concat(pieces, ignore_index=True)
+    assert found["k"].tolist() == at.tolist()
+    members = rows["x"][rows["_valid"]].to_numpy()
+    full = np.cumsum(rows["_valid"].to_numpy()) // 5
+    assert all(v == members[(i - 1) * 5 : i * 5].tolist() for v, i in zip(found["_batch_values"], full) if i)
+    assert all(len(v) == 0 for v, i in zip(found["_batch_values"], full) if not i)
+    assert [t // 500_000 / 4 for t in found["_batch_times"].iloc[-1]] == found["_batch_values"].iloc[-1]
+
+
+def test_micro_batches_stay_small(spark, folders):
+    """More rows make more micro-batches, still in the order of time, and none is read twice."""
+    from plantpulse.checks.streams import in_batches
+
+    _, out, progress = folders
+    table = patchy(spark, TINY)
+    query = flows.write_batches(in_batches(spark, table, "timestamp", most=100), out, progress)
+    query.awaitTermination()
+    found = spark.read.parquet(out)
+    sizes = found.groupBy("batch").agg(F.count("*").alias("n"), F.min("timestamp").alias("low"), F.max("timestamp").alias("high")).orderBy("batch").collect()
+    assert len(sizes) == -(-table.count() // 100) and max(r["n"] for r in sizes) <= 200
+    assert all(a["high"] < b["low"] for a, b in zip(sizes, sizes[1:]))
+    assert same_rows(found.drop("batch"), table)
