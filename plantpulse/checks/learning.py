@@ -86,10 +86,13 @@ def confidence_map(spark, folder):
 
 
 def _training_table(spark, folder):
-    """Split monthly features per supplier, written once because split and training read them often."""
+    """Split monthly features per supplier, written once before the split and once after it, because split and training read them often.
+
+    With more strata than may be broadcast the split moves the rows; training would do so again in each of its passes.
+    """
     table = features.extract_features(readings_wide(spark, folder), "30d", labels=STATUSES)
     key = F.concat_ws("@", F.col("run_id").cast("string"), F.unix_micros("timestamp").cast("string"))
-    return splits.split_by_run(stage(table.withColumn("row_key", key), "training"), "row_key")
+    return stage(splits.split_by_run(stage(table.withColumn("row_key", key), "training"), "row_key"), "split")
 
 
 # The windows of the training table with their majority status and row key, split in SQL as in Spark.
@@ -132,7 +135,7 @@ def train_predict_forest(spark, folder):
 def train_predict_boosted(spark, folder):
     """Boosted trees that stop early on a validation part."""
     table = _training_table(spark, folder)
-    rows = splits.split_by_run(splits.part(table, "train"), "row_key", 0.25)
+    rows = stage(splits.split_by_run(splits.part(table, "train"), "row_key", 0.25), "validation")
     fitted = model.train(
         splits.part(rows, "train"), kind="boosted", trees=5, depth=3, rate=0.3, validation=splits.part(rows, "test")
     )

@@ -88,7 +88,8 @@ def train_layer(split: DataFrame, spec: LayerSpec, kind: str = "forest") -> mode
     rows = splits.part(split, splits.TRAIN)
     validation = None
     if spec.validation_size and kind == "boosted":
-        held = split_features(rows, spec, spec.validation_size)
+        # Written once: training reads it in several passes.
+        held = stage(split_features(rows, spec, spec.validation_size), "validation")
         rows, validation = splits.part(held, splits.TRAIN), splits.part(held, splits.TEST)
     return model.train(
         rows,

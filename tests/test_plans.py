@@ -45,6 +45,14 @@ def test_seeded_split_moves_no_rows(spark):
     assert not re.search(r"Exchange hashpartitioning", text)
 
 
+def test_training_reads_a_written_split(spark):
+    """Every pass of training is a scan, however many strata there are."""
+    from plantpulse.checks.learning import _training_table
+
+    text = plan(splits.part(_training_table(spark, TINY), "train"))
+    assert "Scan parquet" in text and not re.search(r"Join|Exchange|Aggregate", text)
+
+
 def test_chronological_split_is_a_filter(spark):
     assert "Exchange" not in plan(splits.split_chronological(readings(spark, TINY), "event_id"))
 
